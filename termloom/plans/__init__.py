@@ -1,9 +1,13 @@
-"""Named queries over the test tables, with their SQL."""
+"""Named queries over the test tables, with their SQL where SQL can say the same."""
+
+from . import merging, scalars, searching, storing
+
+_ALL = {**scalars.QUERIES, **merging.QUERIES, **searching.QUERIES, **storing.QUERIES}
 
 
 def queries() -> dict:
-    return {}
+    return {name: q for name, (q, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
