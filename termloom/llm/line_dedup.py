@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,7 +53,7 @@ def _reassemble(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n, gone = [], [], []
-            for text, a, b in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            for text, a, b in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
                 lines = (text.as_py() or b"").split(b"\n")
                 n.append(len(lines))
                 drop = set(zip(a.as_py(), b.as_py(), strict=True)) if a.is_valid else ()
@@ -61,14 +61,16 @@ def _reassemble(min_chars: int):
                     lines = [x for x, h in zip(lines, _line_hashes(lines, min_chars), strict=True) if (_signed(h >> 64), _signed(h & low)) not in drop]
                 gone.append(n[-1] - len(lines))
                 kept.append(b"\n".join(lines))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["id", "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["id", "row", "text", "n_lines", "n_dropped"])
 
     return run
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_docs: int = MAX_DOCS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_docs: int = MAX_DOCS, keep: Sequence[str] = ()) -> DataFrame:
     """(id, text, n_lines, n_dropped) for each row; text without the lines that repeat across documents.
 
+    With keep: (row, text, n_lines, n_dropped), where row is a struct of these columns.
+
     A line's key is the line without ASCII white space at its ends, with A-Z
     lower-cased. A key of at least min_chars code points that more than
     max_docs documents hold loses its lines everywhere but in the document of
@@ -81,8 +83,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others. Other columns are ignored.
     """
     arrow_limits(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__d"), F.col(text_col).cast("binary").alias("__t"))
-    lines = rows.mapInArrow(_explode(min_chars), "__d long, __a long, __b long")
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep or [id_col])).alias("__row")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__d"), F.col(text_col).cast("binary").alias("__t"), kept)
+    lines = rows.select("__d", "__t").mapInArrow(_explode(min_chars), "__d long, __a long, __b long")
     if max_docs == 1:
         held = lines.groupBy("__a", "__b").agg(F.min("__d").alias("__first"), F.max("__d").alias("__last")).where("__first <> __last").drop("__last")
     else:
@@ -94,8 +97,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.collect_set(F.struct("__a", "__b")).alias("__x"))
         .select("__d", F.col("__x.__a").alias("__a"), F.col("__x.__b").alias("__b"))
     )
-    out = rows.join(drops, "__d", "left").select("__d", "__t", "__a", "__b").mapInArrow(_reassemble(min_chars), "id long, text binary, n_lines long, n_dropped long")
-    return out.select(F.nullif("id", F.lit(NO_ID)).alias(id_col), F.col("text").cast("string").alias("text"), "n_lines", "n_dropped")
+    kind = rows.schema["__row"].dataType.simpleString()
+    out = rows.join(drops, "__d", "left").select("__d", "__row", "__t", "__a", "__b").mapInArrow(_reassemble(min_chars), f"id long, row {kind}, text binary, n_lines long, n_dropped long")
+    first = F.col("row") if keep else F.col(f"row.`{id_col}`").alias(id_col)
+    return out.select(first, F.col("text").cast("string").alias("text"), "n_lines", "n_dropped")
 
 
 SQL = r"""

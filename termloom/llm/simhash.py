@@ -118,80 +118,82 @@ def flips(mask: int, radius: int) -> np.ndarray:
 
 
 def _signatures(parts: Sequence[tuple[int, int]]):
-    """For each fingerprint and part, its values within half the threshold, and as a probe those within the other half."""
+    """For each node and part, its fingerprint's values within half the threshold, and as a probe those within the other half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = [(k, np.uint64(mask), flips(mask, t // 2), flips(mask, t - t // 2)) for k, (mask, t) in enumerate(parts)]
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            open_ = batch.column(1).to_numpy()
+            node, fp, check, closed = (c.to_numpy() for c in batch.columns)
             for k, mask, own, probe in near:
-                some = fp[(open_ >> k & 1) == 0]
+                some = np.flatnonzero((closed >> k & 1) == 0)
                 for lo in range(0, len(some), 1 << 14):
-                    x = some[lo : lo + (1 << 14)]
-                    value = ((x & mask)[:, None] ^ probe).ravel()
-                    kind = np.tile(np.arange(len(probe)) < len(own), len(x))  # the nearest values come first
-                    cols = [np.full(len(value), k, np.int32), value.view(np.int64), np.repeat(x, len(probe)).view(np.int64), kind]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["part", "value", "fp", "own"])
+                    i = np.repeat(some[lo : lo + (1 << 14)], len(probe))
+                    value = fp[i].view(np.uint64) & mask ^ np.tile(probe, len(i) // len(probe))
+                    kind = np.tile(np.arange(len(probe)) < len(own), len(i) // len(probe))  # the nearest values come first
+                    yield _rows(np.full(len(i), k, np.int32), value.view(np.int64), node[i], fp[i], check[i], kind)
 
     return run
 
 
-def _forest(members: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["part", "value", "node", "fp", "ck", "own"])
+
+
+_ROWS = "part int, value long, node long, fp long, ck long, own boolean"
+
+
+def _forest(node: np.ndarray, fp: np.ndarray, check: np.ndarray, linked) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect whatever links connect: each member reached is compared with those not yet reached."""
-    left, a, b = members, [], []
+    left, a, b = np.arange(len(node)), [], []
     while len(left):
-        front, left = left[:1], left[1:]
-        while len(front) and len(left):
-            x, front = front[0], front[1:]
-            near = np.bitwise_count(left ^ x) <= distance
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            x = front.pop()
+            near = linked(fp[left] ^ fp[x], check[left] ^ check[x])
             if near.any():
                 b.append(left[near])
                 a.append(np.full(len(b[-1]), x))
-                front, left = np.concatenate([front, b[-1]]), left[~near]
-    return (np.concatenate(a), np.concatenate(b)) if a else (members[:0], members[:0])
+                front, left = front + b[-1].tolist(), left[~near]
+    none = np.zeros(0, np.int64)
+    return (node[np.concatenate(a)], node[np.concatenate(b)]) if a else (none, none)
 
 
-def group_links(part: np.ndarray, value: np.ndarray, fp: np.ndarray, own: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def group_links(part: np.ndarray, value: np.ndarray, node: np.ndarray, fp: np.ndarray, check: np.ndarray, own: np.ndarray, distance: int, check_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Verified links inside groups of equal part and value, between a member's own value and another's probe."""
-    order = np.lexsort((fp, value, part))
-    part, value, fp, own = part[order], value[order], fp[order], own[order]
+    linked = lambda x, y: (np.bitwise_count(x) <= distance) & (np.bitwise_count(y) <= check_distance)
+    order = np.lexsort((node, value, part))
+    part, value, node, own = part[order], value[order], node[order], own[order]
+    fp, check = fp[order].view(np.uint64), check[order].view(np.uint64)
     new = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (value[1:] != value[:-1])])) if len(fp) else np.zeros(0, np.int64)
     size = np.diff(np.append(new, len(fp)))
     for first, n in zip(new[size > GROUP].tolist(), size[size > GROUP].tolist(), strict=True):
         if own[first : first + n].any():
-            yield _forest(np.unique(fp[first : first + n]), distance)
+            some = first + np.unique(node[first : first + n], return_index=True)[1]
+            yield _forest(node[some], fp[some], check[some], linked)
     group = np.repeat(np.arange(len(new)), size)
     rows = np.flatnonzero(own & (size[group] > 1) & (size[group] <= GROUP))
-    lo = 0
-    ends = np.cumsum(size[group[rows]])
+    lo, ends = 0, np.cumsum(size[group[rows]])
     while lo < len(rows):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS)))
         some = rows[lo:hi]
         n = size[group[some]]
         i = np.repeat(some, n)
         j = np.repeat(new[group[some]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        ok = (fp[i] != fp[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= distance)
-        yield fp[i[ok]], fp[j[ok]]
+        ok = (node[i] != node[j]) & linked(fp[i] ^ fp[j], check[i] ^ check[j])
+        yield node[i[ok]], node[j[ok]]
         lo = hi
 
 
-def _links(distance: int, most: int = 1 << 20):
+def _links(distance: int, check_distance: int, most: int = 1 << 19):
     """Rows come sorted by part and value; whole groups are handled as soon as there are enough rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
 
-        def columns() -> list[np.ndarray]:
-            t = pa.Table.from_batches(held)
-            return [t["part"].to_numpy(), t["value"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["own"].to_numpy()]
-
         def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for a, b in group_links(*cols, distance):
-                # as stored: signed, the smaller first, once
-                pair = np.sort(np.stack([a.view(np.int64), b.view(np.int64)], axis=1), axis=1)
-                pair = np.unique(pair, axis=0) if len(pair) else pair
+            for a, b in group_links(*cols, distance, check_distance):
+                pair = np.unique(np.sort(np.stack([a, b], axis=1), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
         for batch in batches:
@@ -199,15 +201,15 @@ def _links(distance: int, most: int = 1 << 20):
                 held.append(batch)
                 rows += batch.num_rows
             if rows > most:
-                cols = columns()
-                last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-                cut = int(np.argmax(last))
+                t = pa.Table.from_batches(held)
+                cols = [c.to_numpy() for c in t.columns]
+                cut = int(np.argmax((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])))
                 if cut:
                     yield from out([c[:cut] for c in cols])
-                held = [pa.Table.from_batches(held).slice(cut).combine_chunks().to_batches()[0]]
-                rows = held[0].num_rows
+                held = t.slice(cut).combine_chunks().to_batches()
+                rows = t.num_rows - cut
         if rows:
-            yield from out(columns())
+            yield from out([c.to_numpy() for c in pa.Table.from_batches(held).columns])
 
     return run
 
@@ -219,45 +221,42 @@ def _ball(distance: int):
         step = flips((1 << 64) - 1, distance - distance // 2)
         own = np.bitwise_count(step) <= distance // 2
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            for lo in range(0, len(fp), 512):
-                x = fp[lo : lo + 512]
-                yield pa.RecordBatch.from_arrays([pa.array((x[:, None] ^ step).ravel().view(np.int64)), pa.array(np.repeat(x, len(step)).view(np.int64)), pa.array(np.tile(own, len(x)))], ["point", "fp", "own"])
+            node, fp, check = (c.to_numpy() for c in batch.columns)
+            for lo in range(0, len(fp), max(1, (1 << 20) // len(step))):
+                i = np.repeat(np.arange(lo, min(len(fp), lo + max(1, (1 << 20) // len(step)))), len(step))
+                point = fp[i].view(np.uint64) ^ np.tile(step, len(i) // len(step))
+                yield _rows(np.full(len(i), -1, np.int32), point.view(np.int64), node[i], fp[i], check[i], np.tile(own, len(i) // len(step)))
 
     return run
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
-    """(a, b): links between distinct fingerprints (fp) that connect all that are at most distance bits apart.
+def links(nodes: DataFrame, distance: int = DISTANCE, check_distance: int = 64, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
+    """(a, b): links between nodes (node, fp, ck) that connect all whose fp are at most distance bits apart and ck at most check_distance.
 
     Fingerprints are grouped by their values in the parts of plan(), probed at
     the part's threshold, and compared inside each group; a large group gives
-    a spanning forest of its links only. Where over `hot` fingerprints have
-    one value, they and those within the threshold of it meet instead at the
+    a spanning forest of its links only. Where over `hot` nodes have one
+    value, they and those within the threshold of it meet instead at the
     points halfway between them: two that are at most distance apart have a
-    point within half of it, rounded down, of one and rounded up of the other,
-    and whatever meets at such a point is at most distance apart.
+    point within half of it, rounded down, of one and rounded up of the other.
     """
-    spark = fps.sparkSession
-    some = [r.fp for r in fps.orderBy(F.xxhash64("fp")).limit(sample).collect()]
-    parts = plan(np.array(some, np.int64).view(np.uint64), fps.count(), distance)
+    spark = nodes.sparkSession
+    some = [r.fp for r in nodes.orderBy(F.xxhash64("fp", "node")).limit(sample).collect()]
+    parts = plan(np.array(some, np.int64).view(np.uint64), nodes.count(), distance)
     masks = [int(np.array([m], np.uint64).view(np.int64)[0]) for m, _ in parts]
     values = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(masks))))
-    crowded = written(fps.select(values.alias("x")).groupBy("x.part", "x.value").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("part", "value"))
-    rows = fps.select("fp", F.lit(0).alias("open"))
-    extra = None
+    crowded = written(nodes.select(values.alias("x")).groupBy("x.part", "x.value").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("part", "value"))
+    rows, met = nodes.select("node", "fp", "ck", F.lit(0).alias("closed")), None
     if not crowded.isEmpty():
-        own = fps.select("fp", values.alias("x")).select("fp", "x.part", "x.value")
-        inside = own.join(crowded, ["part", "value"], "left_semi").groupBy("fp").agg(F.bit_or(F.shiftleft(F.lit(1), F.col("part"))).alias("open"))
-        rows = fps.join(inside, "fp", "left").select("fp", F.coalesce("open", F.lit(0)).alias("open"))
-        around = crowded.select("part", F.explode(_around(parts)).alias("step"), "value").select("part", F.col("value").bitwiseXOR(F.col("step")).alias("value")).distinct()
-        near = own.join(around, ["part", "value"], "left_semi").select("fp").distinct()
-        ball = near.mapInArrow(_ball(distance), "point long, fp long, own boolean")
-        middle = ball.where("own").groupBy("point").agg(F.min("fp").alias("a"))
-        extra = ball.join(middle, "point").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
-    signed = rows.repartition(partitions(spark)).mapInArrow(_signatures(parts), "part int, value long, fp long, own boolean")
-    found = signed.repartition(partitions(spark), "part", "value").sortWithinPartitions("part", "value").mapInArrow(_links(distance), "a long, b long")
-    return found if extra is None else found.unionByName(extra)
+        own = nodes.select("node", "fp", "ck", values.alias("x")).select("node", "fp", "ck", "x.part", "x.value")
+        inside = own.join(crowded, ["part", "value"], "left_semi").groupBy("node").agg(F.expr("bit_or(shiftleft(1, part))").alias("closed"))
+        rows = nodes.join(inside, "node", "left").select("node", "fp", "ck", F.coalesce("closed", F.lit(0)).alias("closed"))
+        around = crowded.select("part", "value", F.explode(_around(parts)).alias("step")).select("part", F.col("value").bitwiseXOR(F.col("step")).alias("value")).distinct()
+        near = own.join(around, ["part", "value"], "left_semi").select("node", "fp", "ck").distinct()
+        met = near.mapInArrow(_ball(distance), _ROWS)
+    out = rows.repartition(partitions(spark)).mapInArrow(_signatures(parts), _ROWS)
+    out = out if met is None else out.unionByName(met)
+    return out.repartition(partitions(spark), "part", "value").sortWithinPartitions("part", "value").mapInArrow(_links(distance, check_distance), "a long, b long")
 
 
 def _around(parts: Sequence[tuple[int, int]]):
@@ -282,13 +281,47 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(_fingerprints(width, seed), f"id {kind}, fp long")
     rows = written(rows)
     fps = written(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = components(links(fps.select("fp"), distance, hot))
+    roots = components(links(fps.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("ck")), distance, hot=hot))
     linked = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("first").alias("component"))
     final = linked.join(least, "root").select("fp", "component")
     return rows.join(final, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
+def _two_fingerprints(width: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_py() or b"" for x in batch.column(1)]
+            words = np.fromiter((fingerprint(b" ".join(sorted(set(t.lower().split()))), 1, seed) for t in texts), np.uint64, len(texts))
+            runs = np.fromiter((fingerprint(t, width, seed) for t in texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words.view(np.int64)), pa.array(runs.view(np.int64))], ["n", "id", "fp", "ck"])
+
+    return run
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 14, near: int = 7, seed: int = SEED, hot: int = HOT) -> DataFrame:
+    """docs with one row of each group of near-duplicates, that of the smallest id.
+
+    Two texts are linked if the fingerprints of their five-word shingles are
+    at most distance bits apart, which estimates a similarity of 0.8 or more,
+    and those of their distinct words at most near bits: so few changed words
+    change these that the generalised pigeonhole finds them, which it can't at
+    14 of 64 bits. Groups are connected components. A null text counts as empty, a
+    null id comes after all others, and of repeated rows one stays.
+    """
+    spark = docs.sparkSession
+    arrow_limits(spark)
+    rows = written(docs.withColumn("__n", F.monotonically_increasing_id()))
+    kind = docs.schema[id_col].dataType.simpleString()
+    prints = rows.select("__n", F.col(text_col).cast("binary").alias("t"), F.col(id_col).alias("id")).mapInArrow(_two_fingerprints(width, seed), f"n long, id {kind}, fp long, ck long")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n"))
+    nodes = written(prints.groupBy("fp", "ck").agg(first.alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    roots = components(links(nodes.select("node", "fp", "ck"), near, distance, hot=hot))
+    grouped = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias("__n"))
+    return rows.join(kept, "__n", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
