@@ -44,6 +44,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """The same rows, below which no later filter moves.
+
+    A filter that moves below a projection takes its columns' expressions
+    along, and inside a lambda these would be evaluated for each element.
+    Filters don't move below a projection that isn't deterministic.
+    """
+    return df.withColumn("__held", F.monotonically_increasing_id()).where("__held >= 0").drop("__held")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

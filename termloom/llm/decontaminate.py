@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, held, written
 
 WINDOW = 10
 #: A word after lower-casing, and before.
@@ -68,7 +68,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_
         found.append(_occurrences(length, own and [x.hash for x in own], own and [x.words for x in own]))
     found = F.concat(*found) if found else F.array().cast("array<struct<begin: int, length: int, words: string>>")
     if small:
-        return rows.select("__row", "text", "words", found.alias("found")), windows
+        return held(rows.select("__row", "text", "words", found.alias("found"))), windows
     every = rows.select("__n", F.explode(found).alias("x")).select("__n", "x.*")
     hit = every.join(windows.select("length", F.col("words")), ["length", "words"], "left_semi").groupBy("__n").agg(F.sort_array(F.collect_list(F.struct("begin", "length", "words"))).alias("found"))
     out = rows.join(hit, "__n", "left").select("__row", "text", "words", F.coalesce("found", F.array().cast("array<struct<begin: int, length: int, words: string>>")).alias("found"))
@@ -95,7 +95,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", it
     kept = F.array_except(F.sequence(F.lit(0), F.size("__raw") - 1), F.col("__cut"))
     clean = F.concat(F.get("__gaps", F.lit(0)), F.array_join(F.transform(kept, lambda i: F.concat(F.get("__raw", i), F.get("__gaps", i + 1))), ""))
     own = F.when(F.size("__cut") > 0, clean).otherwise(F.col(f"__row.`{text_col}`"))
-    return raw.select(*(own.alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in docs.columns))
+    return held(raw.select(*(own.alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in docs.columns)))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", max_set: int = MAX_SET, **options) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: Rows of the sample that costs and selectivities are estimated on.
@@ -52,7 +54,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = rows.select("*", words.alias("__words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"))
     grams, order, repeated = _repeated("__words")
     rows = rows.select("*", grams.alias("__grams")).select("*", order.alias("__sorted"))
-    return rows.select(
+    rows = rows.select(
         "__row",
         "text",
         F.size("__words").cast("long").alias("n_words"),
@@ -61,6 +63,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         repeated.alias("n_repeat_words"),
     )
+    return held(rows)
 
 
 def base_failed(min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT) -> Column:
