@@ -51,7 +51,7 @@ def accessible(items: DataFrame, permissions: DataFrame, item: str, owner: str,
 def selection_key(urls: Column | str) -> Column:
     """A key of a set of URLs: 16 hex digits of the SHA-256 of their sorted, distinct, trimmed JSON list."""
     c = F.col(urls) if isinstance(urls, str) else urls
-    clean = F.array_sort(F.array_distinct(F.filter(F.transform(c, F.trim), lambda u: u != "")))
+    clean = F.array_sort(F.array_distinct(F.filter(F.transform(c, lambda u: F.trim(u)), lambda u: u != "")))
     quoted = F.transform(clean, lambda u: F.replace(F.replace(u, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')))
     text = F.when(F.size(clean) == 0, "[]").otherwise(F.concat(F.lit('["'), F.array_join(quoted, '", "'), F.lit('"]')))
     return F.substring(F.sha2(text.cast("binary"), 256), 1, 16)

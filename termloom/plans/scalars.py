@@ -216,7 +216,7 @@ QUERIES = {
         authority_lookup,
         """WITH r AS (SELECT 'ththan.example.' || ['com', 'net', 'org'][s_suppkey % 3 + 1] AS domain, max(s_suppkey % 100) AS dr FROM supplier GROUP BY 1),
         p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS domain FROM pages)
-        SELECT page_id, p.domain, coalesce(least(greatest(round_even(dr / 10, 0), 0), 10), 5)::INTEGER AS authority FROM p LEFT JOIN r ON p.domain = r.domain""",
+        SELECT page_id, p.domain, (CASE WHEN dr IS NULL THEN 5 ELSE least(greatest(round_even(dr / 10, 0), 0), 10) END)::INTEGER AS authority FROM p LEFT JOIN r ON p.domain = r.domain""",
     ),
     "selection_key": (
         selection_key,

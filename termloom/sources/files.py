@@ -85,16 +85,21 @@ def export_terms(export: DataFrame) -> DataFrame:
     return rows.where("text <> ''").withColumn("tier", F.when(F.col("included"), "green").otherwise("white"))
 
 
-def keyword_exports(spark: SparkSession, folder: str) -> DataFrame:
-    """(slug, keyword, status): exports of the summary file that exist; without the file, all JSON files but those with a leading underscore."""
+def keyword_exports(spark: SparkSession, folder: str, summary: DataFrame | None = None) -> DataFrame:
+    """(slug, keyword, status): exports of the summary that exist; without a summary, all JSON files but those with a leading underscore.
+
+    summary: rows of export_summary().
+    """
     files = spark.read.format("binaryFile").load(folder, pathGlobFilter="*.json").select(_name("path").alias("json_file")).where(~F.col("json_file").startswith("_"))
-    try:
-        summary = spark.read.schema(S.EXPORT_SUMMARY).csv(f"{folder}/_summary.csv", header=True)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return files.select(F.regexp_replace("json_file", r"\.json$", "").alias("slug"), F.lit(None).cast("string").alias("keyword"), F.lit(None).cast("string").alias("status"))
-    return summary.withColumn("json_file", _name("json_file")).join(files, "json_file").select(F.regexp_replace("json_file", r"\.json$", "").alias("slug"), "keyword", "status")
+    slug = F.regexp_replace("json_file", r"\.json$", "").alias("slug")
+    if summary is None:
+        return files.select(slug, F.lit(None).cast("string").alias("keyword"), F.lit(None).cast("string").alias("status"))
+    return summary.withColumn("json_file", _name("json_file")).join(files, "json_file").select(slug, "keyword", "status")
+
+
+def export_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The summary of a batch of exports. Spark's readers pass over names with a leading underscore, so the file must have another."""
+    return spark.read.schema(S.EXPORT_SUMMARY).csv(path, header=True)
 
 
 def keyword_outputs(spark: SparkSession, folder: str) -> DataFrame:
