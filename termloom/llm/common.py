@@ -37,6 +37,16 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/termloom-{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all scratch tables of the shared folder; no result may be read afterwards that isn't stored elsewhere."""
+    shared = scratch(spark).rpartition("/")[0]
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in store.globStatus(jvm.org.apache.hadoop.fs.Path(path, "termloom-*")) or ():
+        store.delete(found.getPath(), True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read again: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession)

@@ -280,6 +280,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     name = f"termloom_{uuid.uuid4().hex}"
     distinct.write.bucketBy(partitions(spark), "k1", "k2").option("path", scratch(spark)).option("compression", "zstd").format("parquet").saveAsTable(name)
     unique = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # from the catalogue; the files are scratch
 
     anchors = unique.where(F.octet_length("t") >= window).select("k1", "k2", "t").mapInArrow(_anchors(window, first), "h long, k1 long, k2 long, lo int, n int")
     place = F.xxhash64("k1", "k2", "lo")

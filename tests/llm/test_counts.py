@@ -201,3 +201,14 @@ def test_lm_is_better_than_frequencies_and_normalised():
     later[:, -1] = r.integers(0, 7, len(x))  # what comes later changes nothing before
     a, b = (lm.log_probabilities(p, lm.distributions(p).astype(np.float32), z, y) for z in (x, later))
     assert np.allclose(a[:, :-1], b[:, :-1], atol=1e-5)
+
+
+def test_clear(spark):
+    from termloom.llm import common
+
+    path = common.scratch(spark)
+    spark.range(3).write.parquet(path)
+    assert common.written(spark.range(2)).count() == 2
+    common.clear(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
