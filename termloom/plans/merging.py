@@ -142,7 +142,7 @@ def display_dedupe(spark, d):
 
 def visible_tiers(spark, d):
     t = part_terms(spark, d)
-    allowed = t.where("ord % 2 = 0").select("text")
+    allowed = t.where("combined_count > 25").select("text")
     return G.visible_statistics(G.visible_terms(t, ["session_id"], ["ord"], allowed), ["session_id"])
 
 
@@ -253,7 +253,7 @@ QUERIES = {
     ),
     "visible_tiers": (
         visible_tiers,
-        f"""WITH {PARTS}, a AS (SELECT * FROM parts WHERE lower(text) IN (SELECT lower(text) FROM parts WHERE ord % 2 = 0)),
+        f"""WITH {PARTS}, a AS (SELECT * FROM parts WHERE lower(text) IN (SELECT lower(text) FROM parts WHERE combined_count > 25)),
         r AS (SELECT *, row_number() OVER (PARTITION BY session_id, label ORDER BY CASE tier WHEN 'green' THEN 0 WHEN 'orange' THEN 1 ELSE 2 END, ord) AS r FROM a), b AS (SELECT *, min(r) OVER (PARTITION BY session_id, label, lower(text)) AS b FROM r),
         s AS (SELECT session_id, tier, lower(text) AS k, max(combined_count) AS c FROM b WHERE (label <> 'Dog Breed' OR b <= 4) AND label NOT IN ('Brand', 'Address', 'Language', 'Company') GROUP BY 1, 2, 3)
         SELECT session_id, count(*) AS unique_count, sum(c)::BIGINT AS occurrence_count FROM s GROUP BY 1""",

@@ -57,7 +57,7 @@ def token_tf(spark, d):
 
 
 def bucket_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(X.bucket_words(F.substring("text", 1, 400))), " ").alias("words"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(X.bucket_words("text")), " ").alias("words"))
 
 
 def singularize_keys(spark, d):
@@ -92,11 +92,14 @@ def title_case(spark, d):
 
 
 def proximity(spark, d):
-    """Whether the first two words of a benchmark item stand at the head of a document."""
-    items = table(spark, d, "benchmark").where("item_id < 5").select("item_id", F.array_join(F.slice(X.words("text"), 1, 2), " ").alias("term"))
-    terms = F.broadcast(items)  # five rows
+    """Documents at whose head, or in whose first sixty characters, the first two words of a benchmark item stand; joined by the first of them."""
+    items = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(X.words("text"), 1, 2), " ").alias("term"))
+    items = items.where("term <> ''").withColumn("word", F.element_at(X.words(F.lower("term")), 1))
     docs = table(spark, d, "documents").select("doc_id", "text", F.substring("text", 1, 60).alias("title"))
-    return docs.crossJoin(terms).where(X.in_proximity("term", "title", F.lit(""), "text")).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    w = X.words(F.lower("text"))
+    head = F.array_union(F.slice(w, F.lit(1), F.greatest(F.lit(1), F.floor(F.size(w) / 10).cast("int"))), X.words(F.lower("title")))
+    near = docs.select("doc_id", F.explode(head).alias("word")).join(items, "word").select("doc_id", "item_id", "term")
+    return docs.join(near, "doc_id").where(X.in_proximity("term", "title", F.lit(""), "text")).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
 def tfidf_weightage(spark, d):
@@ -163,7 +166,7 @@ QUERIES = {
     "token_tf": (token_tf, f"WITH {TERMS} SELECT page_id, text, count FROM terms"),
     "bucket_tokens": (
         bucket_tokens,
-        f"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(lower(left(text, 400)), '[a-z]+'), lambda x: {singular_sql("x")}), lambda y: y NOT IN ({_quoted(X.BUCKET_STOP_WORDS)})))), ' ') AS words FROM documents""",
+        f"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda x: {singular_sql("x")}), lambda y: y NOT IN ({_quoted(X.BUCKET_STOP_WORDS)})))), ' ') AS words FROM documents""",
     ),
     "singularize_keys": (singularize_keys, f"WITH {TERMS} SELECT {singular_sql('text')} AS key, sum(count)::BIGINT AS n, count(DISTINCT text) AS forms FROM terms GROUP BY 1"),
     "content_gate": (
@@ -193,7 +196,7 @@ QUERIES = {
     ),
     "proximity": (
         proximity,
-        """WITH b AS (SELECT item_id, ' ' || array_to_string(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:2], lambda x: lower(x)), ' ') || ' ' AS term FROM benchmark WHERE item_id < 5),
+        """WITH b AS (SELECT item_id, ' ' || array_to_string(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:2], lambda x: lower(x)), ' ') || ' ' AS term FROM benchmark),
         w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w, list_filter(string_split_regex(lower(left(text, 60)), '\\s+'), lambda x: x <> '') AS t FROM documents)
         SELECT item_id, count(*) AS n, min(doc_id) AS first FROM w, b WHERE contains(' ' || array_to_string(t, ' ') || ' ', term) OR contains(' ' || array_to_string(w[1:greatest(1, len(w) // 10)], ' ') || ' ', term) GROUP BY item_id""",
     ),

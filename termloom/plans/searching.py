@@ -101,7 +101,7 @@ def anchored_tiers(spark, d):
 
 
 def validate_anchors(spark, d):
-    t = vector_terms(spark, d).where("ord < 12").withColumn("is_entity", F.col("ord") % 3 == 1)
+    t = vector_terms(spark, d).withColumn("is_entity", F.col("ord") % 3 == 1)
     return W.validate_anchors(t, duplicate=0.9, least=0.2)
 
 
@@ -125,7 +125,7 @@ def slot_fill_consensus(spark, d):
 def tier_eval(spark, d):
     t = _tiered(spark, d)
     old = t.where("anchor_ord = 0").select("session_id", "key", "tier")
-    new = t.where("anchor_ord = 1 AND ord % 5 > 0").select("session_id", "key", "tier", "sim")
+    new = t.where("anchor_ord = 1 AND sim > -0.1").select("session_id", "key", "tier", "sim")
     return C.evaluation(old, new, keyword="term 1").select("session_id", "green_old", "green_new", "white_new", "moved", "green_to_white", "white_to_green", "green_sim", "repeated_across_tiers")
 
 
@@ -161,7 +161,7 @@ def fuzzy_tier_dedup(spark, d):
 
 def fuzzy_domains(spark, d):
     p = part_terms(spark, d)
-    domains = p.where("ord % 50 = 0").select("session_id", F.concat(F.replace("text", F.lit(" "), F.lit("")), F.lit(".com")).alias("domain"))
+    domains = p.select("session_id", F.concat(F.replace("text", F.lit(" "), F.lit("")), F.lit(".com")).alias("domain"))
     return Z.domain_matches(p, domains)
 
 
@@ -227,7 +227,7 @@ QUERIES = {
     "slot_fill_consensus": (slot_fill_consensus, None),
     "tier_eval": (
         tier_eval,
-        f"""WITH {SIMS}, {TIERED}, old AS (SELECT session_id, text, tier AS o FROM tiered WHERE anchor_ord = 0), fresh AS (SELECT session_id, text, tier AS n, sim FROM tiered WHERE anchor_ord = 1 AND ord % 5 > 0)
+        f"""WITH {SIMS}, {TIERED}, old AS (SELECT session_id, text, tier AS o FROM tiered WHERE anchor_ord = 0), fresh AS (SELECT session_id, text, tier AS n, sim FROM tiered WHERE anchor_ord = 1 AND sim > -0.1)
         SELECT old.session_id, count(*) FILTER (o = 'green') AS green_old, count(*) FILTER (n = 'green') AS green_new, count(*) FILTER (n = 'white') AS white_new, count(*) FILTER (o <> n) AS moved, count(*) FILTER (o = 'green' AND n = 'white') AS green_to_white,
         count(*) FILTER (o = 'white' AND n = 'green') AS white_to_green, round(avg(sim) FILTER (n = 'green'), 4) AS green_sim, 0::BIGINT AS repeated_across_tiers FROM old LEFT JOIN fresh ON old.session_id = fresh.session_id AND old.text = fresh.text GROUP BY 1""",
     ),

@@ -21,7 +21,7 @@ def latest_30(spark, d):
 
 def upsert_merge(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    new = o.where("o_orderkey % 3 = 0").select((F.col("o_orderkey") + 1).alias("o_orderkey"), F.lit(None).cast("long").alias("o_custkey"), F.lit("X").alias("o_orderstatus"))
+    new = o.where("o_orderstatus = 'P'").select((F.col("o_orderkey") + 1).alias("o_orderkey"), F.lit(None).cast("long").alias("o_custkey"), F.lit("X").alias("o_orderstatus"))
     return O.upsert(o, new, ["o_orderkey"])
 
 
@@ -65,8 +65,8 @@ def rate_summary(spark, d):
 
 
 def timing_rows(spark, d):
-    e = table(spark, d, "events").where("user_id = 1").select("event_id", "ts")
-    return O.numbered(e, ["ts", "event_id"], start=100)
+    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    return O.numbered(s, ["s_acctbal", "s_suppkey"], start=100)
 
 
 def tier_document(spark, d):
@@ -91,7 +91,7 @@ QUERIES = {
     "latest_30": (latest_30, "SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 30"),
     "upsert_merge": (
         upsert_merge,
-        """WITH n AS (SELECT o_orderkey + 1 AS o_orderkey FROM orders WHERE o_orderkey % 3 = 0)
+        """WITH n AS (SELECT o_orderkey + 1 AS o_orderkey FROM orders WHERE o_orderstatus = 'P')
         SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, o_custkey, CASE WHEN n.o_orderkey IS NOT NULL THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders o FULL JOIN n ON o.o_orderkey = n.o_orderkey""",
     ),
     "delete_rows": (delete_rows, "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"),
@@ -106,7 +106,7 @@ QUERIES = {
         """WITH e AS (SELECT user_id % 5 AS "user", (event_type = 'view')::INTEGER AS v, value FROM events)
         SELECT "user", count(*) AS n, avg(v)::DOUBLE AS is_view_rate, quantile_cont(value, 0.5) AS median, list_sort(list(value))[greatest(1, floor(count(*) * 0.95))::BIGINT] AS p95 FROM e GROUP BY 1""",
     ),
-    "timing_rows": (timing_rows, "SELECT event_id, ts, (row_number() OVER (ORDER BY ts, event_id) + 100)::INTEGER AS sr_no FROM events WHERE user_id = 1"),
+    "timing_rows": (timing_rows, "SELECT s_suppkey, s_acctbal, (row_number() OVER (ORDER BY s_acctbal, s_suppkey) + 100)::INTEGER AS sr_no FROM supplier"),
     "tier_document": (
         tier_document,
         f"""WITH {PARTS}, l AS (SELECT session_id, [x.t FOR x IN list_sort(list(struct_pack(o := ord, t := text, k := tier))) IF x.k = 'green'] AS g, [x.t FOR x IN list_sort(list(struct_pack(o := ord, t := text, k := tier))) IF x.k = 'orange'] AS o,
