@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -202,7 +203,7 @@ def shipped(spark: SparkSession, words: list[str], tokenizer: str) -> str:
     merges = Merges(tokenizer)
     coded = sorted({w.encode() for w in words if w and w not in merges.special})
     packed = compile_lexicon(coded, [merges.merge(w) for w in coded])
-    name = f"lexicon-{hashlib.sha256(packed.tobytes()).hexdigest()[:24]}.npy"
+    name = f"lexicon-{uuid.uuid4().hex}.npy"
     path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="termloom-")), name)
     np.save(path, packed)
     spark.sparkContext.addFile(path)
