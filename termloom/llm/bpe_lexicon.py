@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -9,6 +10,7 @@ import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Most words in the lexicon, and bytes of the longest.
 LEXICON_WORDS, LEXICON_BYTES = 100_000, 48
 #: Distinct words that a task keeps before it starts anew.
-CACHE = 200_000
+CACHE = 400_000
 #: Code points that a task handles together.
 BATCH = 1 << 20
 
@@ -39,7 +41,7 @@ class Merges:
         # bytes are written as printable characters: themselves where printable, else from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         sign = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        vocab = spec["model"]["vocab"]
+        vocab, self.normalizer, self.split_by = spec["model"]["vocab"], spec["normalizer"], spec["pre_tokenizer"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes_of = {i: bytes(sign[c] for c in s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
         self.byte_id = [0] * 256
@@ -79,6 +81,24 @@ class Merges:
         return ids
 
 
+def by_ranks(path: str, merges: Merges | None = None):
+    """A faster encoder of the same file, for whole texts without offsets; None where it isn't certain to agree.
+
+    It merges the pair that makes the piece of the smallest id, so the ids must
+    follow the order of the merges.
+    """
+    import tiktoken
+
+    m = merges or Merges(path)
+    if m.normalizer or m.split_by != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+        return None
+    made = [new for _, new in m.rank.values()]
+    if made != list(range(256, 256 + len(made))) or sorted(m.byte_id) != list(range(256)):
+        return None
+    ranks = {b: i for i, b in m.bytes_of.items() if i not in m.special.values()}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=m.special)
+
+
 def compile_lexicon(words: list[bytes], ids: list[list[int]]) -> np.ndarray:
     """The words, distinct and in order of bytes, as one array of int32 that can be memory-mapped.
 
@@ -136,7 +156,7 @@ class Lexicon:
         for n in packed[1:7]:
             parts.append(packed[at : at + n])
             at += n
-        self.keys, self.targets, self.outs, self.finals, self.ends, self.ids = parts
+        self.keys, self.targets, self.outs, self.finals, self.ends, self.ids = map(np.asarray, parts)
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """The place of each word, -1 for one that is not in the lexicon."""
@@ -165,18 +185,22 @@ class Lexicon:
         return self.ids[self.ends[place] : self.ends[place + 1]].tolist()
 
 
-def _counts(path: str, flush: int = CACHE):
+#: Makes ASCII signs spaces; what is left between them is words.
+_SIGNS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def _counts(flush: int = CACHE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, found = Merges(path).words, Counter()
+        found: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "n"])
             found.clear()
             return batch
 
         for batch in batches:
             for text in batch.column(0):
-                found.update(words(text.as_py() or ""))
+                found.update((text.as_py() or b"").translate(_SIGNS).split())
                 if len(found) > flush:
                     yield out()
         yield out()
@@ -184,18 +208,18 @@ def _counts(path: str, flush: int = CACHE):
     return run
 
 
-def frequent_words(docs: DataFrame, tokenizer: str, text_col: str = "text", most: int = LEXICON_WORDS, longest: int = LEXICON_BYTES) -> list[str]:
-    """The words of all texts that occur most often: as many whole classes of frequency as hold at most `most` words."""
+def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_WORDS, longest: int = LEXICON_BYTES) -> list[str]:
+    """The words of all texts that occur most often, behind a space: as many whole classes of frequency as hold at most `most` words."""
     arrow_limits(docs.sparkSession)
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_counts(tokenizer), "word string, n long")
-    counts = written(counts.groupBy("word").agg(F.sum("n").alias("n")).where((F.octet_length("word") <= longest) & (F.col("n") > 1)))
+    counts = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(_counts(), "word binary, n long")
+    counts = written(counts.groupBy("word").agg(F.sum("n").alias("n")).where((F.octet_length("word") < longest) & (F.col("n") > 1)))
     band = F.floor(F.log2("n") * 16)
     room, least = most, None
     for x in sorted(counts.groupBy(band.alias("band")).count().collect(), reverse=True):
         if x["count"] > room:
             break
         room, least = room - x["count"], x.band
-    return [] if least is None else [r.word for r in counts.where(band >= least).select("word").collect()]
+    return [] if least is None else [f" {bytes(r.word).decode('utf-8', 'replace')}" for r in counts.where(band >= least).select("word").collect()]
 
 
 def shipped(spark: SparkSession, words: list[str], tokenizer: str) -> str:
@@ -211,37 +235,46 @@ def shipped(spark: SparkSession, words: list[str], tokenizer: str) -> str:
 
 
 class Codec:
-    """Encodes words through a lexicon, or by merging; keeps those seen, up to a bound."""
+    """Encodes words by a lexicon, or by merging; keeps the words seen, up to a bound."""
 
-    def __init__(self, path: str, lexicon: str):
-        self.merges = Merges(path)
+    def __init__(self, path: str, lexicon: str, keep_ids: bool = True):
+        self.merges, self.keep_ids = Merges(path), keep_ids
+        ranks = by_ranks(path, self.merges)
+        self.merge = ranks._core_bpe.encode_single_piece if ranks else self.merges.merge
         self.lexicon = Lexicon(np.load(SparkFiles.get(lexicon), mmap_mode="r"))
+        size = max(self.merges.bytes_of) + 1
+        self.digits, self.bytes = list(map(str, range(size))), [self.merges.bytes_of.get(i, b"") for i in range(size)]
+        ids, ends = self.lexicon.ids.tolist(), self.lexicon.ends.tolist()
+        self.known = self._entries([ids[a:b] for a, b in zip(ends, ends[1:], strict=False)])
         self._new()
 
+    def _entries(self, ids: list[list[int]]) -> tuple[list[str], list[int], list[bytes], list]:
+        """Of each word's ids: as text, their number, the bytes they stand for, and themselves if they are kept."""
+        digits, plain = self.digits, self.bytes
+        return [",".join([digits[i] for i in x]) for x in ids], list(map(len, ids)), [b"".join([plain[i] for i in x]) for x in ids], ids if self.keep_ids else []
+
     def _new(self) -> None:
         self.at: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        for s, i in self.merges.special.items():
-            self.at[s] = len(self.ids)
-            self.ids.append([i])
-        self.text = [",".join(map(str, x)) for x in self.ids]
-        self.size = [1] * len(self.ids)
-        self.plain = [b"".join(map(self.merges.bytes_of.__getitem__, x)) for x in self.ids]
-
-    def learn(self, words: list[str]) -> None:
-        """Makes all words known."""
-        new = [w for w in dict.fromkeys(words) if w not in self.at]
-        if len(self.at) + len(new) > CACHE and len(self.at) > len(self.merges.special):
+        self.columns: tuple[list, ...] = ([], [], [], [])
+        self._put(list(self.merges.special), self._entries([[i] for i in self.merges.special.values()]))
+
+    def _put(self, words: list[str], entries: tuple[list, ...]) -> None:
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        for own, new in zip(self.columns, entries, strict=True):
+            own += new
+
+    def places(self, texts: list[str]) -> list[list[int]]:
+        """The places of each text's words in columns, in order."""
+        split = list(map(self.merges.words, texts))
+        if len(self.at) > CACHE:
             self._new()
-            new = [w for w in dict.fromkeys(words) if w not in self.at]
+        new = list(set(chain.from_iterable(split)).difference(self.at))
         coded = [w.encode() for w in new]
-        for w, b, place in zip(new, coded, self.lexicon.find(coded).tolist(), strict=True):
-            ids = self.lexicon.encoded(place) if place >= 0 else self.merges.merge(b)
-            self.at[w] = len(self.ids)
-            self.ids.append(ids)
-            self.text.append(",".join(map(str, ids)))
-            self.size.append(len(ids))
-            self.plain.append(b"".join(map(self.merges.bytes_of.__getitem__, ids)))
+        places = self.lexicon.find(coded).tolist()
+        seen = [i for i in places if i >= 0]
+        self._put([w for w, i in zip(new, places, strict=True) if i >= 0], tuple([c[i] for i in seen] if c else [] for c in self.known))
+        self._put([w for w, i in zip(new, places, strict=True) if i < 0], self._entries([self.merge(b) for b, i in zip(coded, places, strict=True) if i < 0]))
+        return [list(map(self.at.__getitem__, x)) for x in split]
 
 
 def _batches(batch: pa.RecordBatch, column: int, most: int = BATCH) -> Iterator[tuple[int, list[str]]]:
@@ -259,20 +292,23 @@ def _batches(batch: pa.RecordBatch, column: int, most: int = BATCH) -> Iterator[
 
 def _encode(path: str, lexicon: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, sha = Codec(path, lexicon), lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
-            for first, texts in _batches(batch, 1):
-                split = [codec.merges.words(t) for t in texts]
-                codec.learn([w for x in split for w in x])
-                at = [[codec.at[w] for w in x] for x in split]
-                ids = batch.column(0).slice(first, len(texts))
-                if digests:
-                    n = [sum(map(codec.size.__getitem__, x)) for x in at]
-                    said = [sha(",".join(map(codec.text.__getitem__, x)).encode()) for x in at]
-                    back = [sha(b"".join(map(codec.plain.__getitem__, x))) for x in at]
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(said), pa.array(back)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([[i for w in x for i in codec.ids[w]] for x in at], pa.list_(pa.int32()))], ["id", "ids"])
+        codec, sha = Codec(path, lexicon, not digests), lambda b: hashlib.sha256(b).hexdigest()
+        gc.disable()  # lists of ids make no cycles, but would be looked through for some
+        try:
+            for batch in batches:
+                for first, texts in _batches(batch, 1):
+                    at = codec.places(texts)
+                    text, size, plain, kept = codec.columns
+                    ids = batch.column(0).slice(first, len(texts))
+                    if digests:
+                        n = [sum(map(size.__getitem__, x)) for x in at]
+                        said = [sha(",".join(map(text.__getitem__, x)).encode()) for x in at]
+                        back = [sha(b"".join(map(plain.__getitem__, x))) for x in at]
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(said), pa.array(back)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([ids, pa.array([list(chain.from_iterable(map(kept.__getitem__, x))) for x in at], pa.list_(pa.int32()))], ["id", "ids"])
+        finally:
+            gc.enable()
 
     return run
 
@@ -293,7 +329,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     arrow_limits(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    lexicon = shipped(spark, frequent_words(docs, tokenizer, text_col, words), tokenizer)
+    lexicon = shipped(spark, frequent_words(docs, text_col, words), tokenizer)
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_encode(tokenizer, lexicon, digests), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else f"id {kind}, ids array<int>")
     return out.withColumnRenamed("id", id_col)
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe_lexicon import by_ranks
 from .common import arrow_limits
 
 #: Code points of a chunk, and of the first overlap tried between two chunks.
@@ -27,30 +28,6 @@ def load(path: str):
     return t
 
 
-def by_ranks(path: str):
-    """A faster encoder of the same file, for whole texts without offsets; None where it isn't certain to agree.
-
-    It merges the pair that makes the piece of the smallest id, so the ids must
-    follow the order of the merges.
-    """
-    import json
-
-    import tiktoken
-
-    from .bpe_lexicon import PATTERN, Merges
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    if spec["normalizer"] or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
-        return None
-    m = Merges(path)
-    made = [new for _, new in m.rank.values()]
-    if made != list(range(256, 256 + len(made))) or sorted(m.byte_id) != list(range(256)):
-        return None
-    ranks = {b: i for i, b in m.bytes_of.items() if i not in m.special.values()}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=m.special)
-
-
 def _kind(c: str) -> str:
     import unicodedata
 
