@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import NO_ID, arrow_limits
 
@@ -97,8 +98,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.collect_set(F.struct("__a", "__b")).alias("__x"))
         .select("__d", F.col("__x.__a").alias("__a"), F.col("__x.__b").alias("__b"))
     )
-    kind = rows.schema["__row"].dataType.simpleString()
-    out = rows.join(drops, "__d", "left").select("__d", "__row", "__t", "__a", "__b").mapInArrow(_reassemble(min_chars), f"id long, row {kind}, text binary, n_lines long, n_dropped long")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("row", rows.schema["__row"].dataType), T.StructField("text", T.BinaryType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    out = rows.join(drops, "__d", "left").select("__d", "__row", "__t", "__a", "__b").mapInArrow(_reassemble(min_chars), schema)
     first = F.col("row") if keep else F.col(f"row.`{id_col}`").alias(id_col)
     return out.select(first, F.col("text").cast("string").alias("text"), "n_lines", "n_dropped")
 

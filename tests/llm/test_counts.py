@@ -118,8 +118,8 @@ def test_line_dedup(spark, most):
     rows = [(r.choice([None, *range(40)]), r.choice([None, "", "\n".join(r.choice(lines) for _ in range(r.randint(1, 6)))])) for _ in range(120)]
     df = spark.createDataFrame([(*x, "e", 1) for x in rows], "doc_id long, text string, n_lines string, id long").repartition(5)
     assert Counter(tuple(x) for x in line_dedup.line_dedup(df, max_docs=most).collect()) == brute_lines(rows, most)
-    kept = line_dedup.line_dedup(df, max_docs=most, keep=["n_lines", "doc_id"])
-    assert {x.row.n_lines for x in kept.collect()} == {"e"}
+    kept = line_dedup.line_dedup(df.withColumn("odd name, really", df.id), max_docs=most, keep=["n_lines", "doc_id", "odd name, really"])
+    assert {(x.row.n_lines, x.row["odd name, really"]) for x in kept.collect()} == {("e", 1)}
     assert line_dedup.line_dedup(df.limit(0)).collect() == []
 
 

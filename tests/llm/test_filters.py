@@ -200,9 +200,10 @@ def test_simhash(spark, hot):
     assert simhash.simhash(df.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize(("distance", "hot"), [(4, 2000), (4, 3), (3, 3), (7, 2000), (5, 0)])
+@pytest.mark.parametrize(("distance", "hot"), [(4, 2000), (4, 3), (3, 3), (7, 2000), (5, 0), (7, 2)])
 def test_links_connect_all(spark, distance, hot, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 6)
+    monkeypatch.setattr(simhash, "BLOCK", 15)
     r = np.random.default_rng(distance + hot)
     centres = r.integers(0, 1 << 63, 5, dtype=np.uint64)
     fp = {int(x) for x in r.integers(0, 1 << 63, 40, dtype=np.uint64)}
