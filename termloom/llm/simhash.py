@@ -19,6 +19,12 @@ WIDTH, SEED, DISTANCE = 4, 42, 4
 SAMPLE = 2000
 #: Fingerprints with one value of a partition beyond which they are linked through points between them.
 HOT = 2000
+#: Members of a crowd that are compared in one task, where points between them are too many.
+BLOCK = 20_000
+#: Largest distance at which crowds meet at points between them.
+NEAR = 4
+#: Parts are planned for so many fingerprints at least, so that smaller tables get the same.
+LEAST = 1_000_000
 #: Pairs compared at once, and members of a group beyond which only a spanning forest of its links is given.
 PAIRS, GROUP = 1 << 21, 64
 _BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -230,6 +236,15 @@ def _ball(distance: int):
     return run
 
 
+def _blocks(crowd: DataFrame) -> DataFrame:
+    """Rows (_ROWS) that bring every two blocks of a crowd together; crowd: part, centre, value, node, fp, ck."""
+    blocks = crowd.groupBy("part", "centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    dealt = crowd.join(blocks, ["part", "centre"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    each = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    pair = F.xxhash64("centre", F.least("i", "j"), F.greatest("i", "j"))
+    return each.select((-1 - F.col("part")).alias("part"), pair.alias("value"), "node", "fp", "ck", (F.col("value") == F.col("centre")).alias("own"))
+
+
 def links(nodes: DataFrame, distance: int = DISTANCE, check_distance: int = 64, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
     """(a, b): links between nodes (node, fp, ck) that connect all whose fp are at most distance bits apart and ck at most check_distance.
 
@@ -239,10 +254,13 @@ def links(nodes: DataFrame, distance: int = DISTANCE, check_distance: int = 64,
     value, they and those within the threshold of it meet instead at the
     points halfway between them: two that are at most distance apart have a
     point within half of it, rounded down, of one and rounded up of the other.
+    For a distance above 4, which has too many such points, a crowd of one
+    value and its surroundings are dealt into blocks instead, and every two
+    blocks are compared in one task.
     """
     spark = nodes.sparkSession
     some = [r.fp for r in nodes.orderBy(F.xxhash64("fp", "node")).limit(sample).collect()]
-    parts = plan(np.array(some, np.int64).view(np.uint64), nodes.count(), distance)
+    parts = plan(np.array(some, np.int64).view(np.uint64), max(LEAST, nodes.count()), distance)
     masks = [int(np.array([m], np.uint64).view(np.int64)[0]) for m, _ in parts]
     values = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(masks))))
     crowded = written(nodes.select(values.alias("x")).groupBy("x.part", "x.value").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("part", "value"))
@@ -251,9 +269,12 @@ def links(nodes: DataFrame, distance: int = DISTANCE, check_distance: int = 64,
         own = nodes.select("node", "fp", "ck", values.alias("x")).select("node", "fp", "ck", "x.part", "x.value")
         inside = own.join(crowded, ["part", "value"], "left_semi").groupBy("node").agg(F.expr("bit_or(shiftleft(1, part))").alias("closed"))
         rows = nodes.join(inside, "node", "left").select("node", "fp", "ck", F.coalesce("closed", F.lit(0)).alias("closed"))
-        around = crowded.select("part", "value", F.explode(_around(parts)).alias("step")).select("part", F.col("value").bitwiseXOR(F.col("step")).alias("value")).distinct()
-        near = own.join(around, ["part", "value"], "left_semi").select("node", "fp", "ck").distinct()
-        met = near.mapInArrow(_ball(distance), _ROWS)
+        around = crowded.select("part", F.col("value").alias("centre"), F.explode(_around(parts)).alias("step")).select("part", "centre", F.col("centre").bitwiseXOR(F.col("step")).alias("value"))
+        crowd = own.join(around, ["part", "value"])
+        if distance <= NEAR:
+            met = crowd.select("node", "fp", "ck").distinct().mapInArrow(_ball(distance), _ROWS)
+        else:
+            met = _blocks(crowd)
     out = rows.repartition(partitions(spark)).mapInArrow(_signatures(parts), _ROWS)
     out = out if met is None else out.unionByName(met)
     return out.repartition(partitions(spark), "part", "value").sortWithinPartitions("part", "value").mapInArrow(_links(distance, check_distance), "a long, b long")
