@@ -100,7 +100,7 @@ def plan(sample: np.ndarray, n: int, distance: int = DISTANCE) -> list[tuple[int
             wide = mask.bit_count()
             seen = np.bincount(np.bitwise_count(differ & np.uint64(mask)), minlength=distance + 1)[: distance + 1].cumsum() / max(1, len(differ))
             even = np.cumsum([comb(wide, k) for k in range(distance + 1)]) / 2.0**wide
-            rows = [2 + (t > 0) * sum(sum(comb(wide, k) for k in range(r + 1)) for r in (t // 2, t - t // 2)) for t in range(distance + 1)]
+            rows = [1 + wide / 2 if t == 1 else sum(comb(wide, k) for k in range(t - t // 2 + 1)) for t in range(distance + 1)]
             work.append([0.0] + [n * r + n * n / 2 * max(s, e) * 0.05 for r, s, e in zip(rows, seen, even, strict=True)])
         # table[u]: least work, and thresholds + 1, of the parts so far that sum up to u
         table = {0: (0.0, ())}
@@ -124,19 +124,27 @@ def flips(mask: int, radius: int) -> np.ndarray:
 
 
 def _signatures(parts: Sequence[tuple[int, int]]):
-    """For each node and part, its fingerprint's values within half the threshold, and as a probe those within the other half."""
+    """For each node and part, its fingerprint's values within half the threshold, and as a probe those within the other half.
+
+    At threshold 1 a probe only clears bits: of two values that differ in one
+    bit, the one that has it reaches the other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = [(k, np.uint64(mask), flips(mask, t // 2), flips(mask, t - t // 2)) for k, (mask, t) in enumerate(parts)]
+        near = [(k, np.uint64(mask), t, flips(mask, t // 2), flips(mask, t - t // 2)) for k, (mask, t) in enumerate(parts)]
         for batch in batches:
             node, fp, check, closed = (c.to_numpy() for c in batch.columns)
-            for k, mask, own, probe in near:
+            for k, mask, t, own, probe in near:
                 some = np.flatnonzero((closed >> k & 1) == 0)
                 for lo in range(0, len(some), 1 << 14):
-                    i = np.repeat(some[lo : lo + (1 << 14)], len(probe))
-                    value = fp[i].view(np.uint64) & mask ^ np.tile(probe, len(i) // len(probe))
-                    kind = np.tile(np.arange(len(probe)) < len(own), len(i) // len(probe))  # the nearest values come first
-                    yield _rows(np.full(len(i), k, np.int32), value.view(np.int64), node[i], fp[i], check[i], kind)
+                    at = some[lo : lo + (1 << 14)]
+                    value = fp[at].view(np.uint64) & mask
+                    if t == 1:
+                        i, j = np.nonzero(np.concatenate([np.ones((len(at), 1), bool), (value[:, None] & probe[1:]) > 0], axis=1))
+                    else:
+                        i, j = np.repeat(np.arange(len(at)), len(probe)), np.tile(np.arange(len(probe)), len(at))
+                    # the nearest values come first
+                    yield _rows(np.full(len(i), k, np.int32), (value[i] ^ probe[j]).view(np.int64), node[at[i]], fp[at[i]], check[at[i]], j < len(own))
 
     return run
 
@@ -190,16 +198,40 @@ def group_links(part: np.ndarray, value: np.ndarray, node: np.ndarray, fp: np.nd
         lo = hi
 
 
+class Forest:
+    """Joined sets of nodes."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.root(a), self.root(b)
+        self.up[a] = b
+        return a != b
+
+
 def _links(distance: int, check_distance: int, most: int = 1 << 19):
-    """Rows come sorted by part and value; whole groups are handled as soon as there are enough rows."""
+    """Rows come sorted by part and value; whole groups are handled as soon as there are enough rows.
+
+    A task gives a link only if it joins what the task's links before it don't join yet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows, forest = 0, Forest()
 
         def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             for a, b in group_links(*cols, distance, check_distance):
                 pair = np.unique(np.sort(np.stack([a, b], axis=1), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+                pair = pair[[forest.join(x, y) for x, y in pair.tolist()]] if len(pair) else pair
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
         for batch in batches:
