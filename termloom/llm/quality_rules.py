@@ -12,7 +12,7 @@ from .common import held
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: Rows of the sample that costs and selectivities are estimated on.
+#: About how many rows are in the sample that costs and selectivities are estimated on.
 SAMPLE_ROWS = 2000
 MIN_WORDS, MAX_REPEAT = 50, 50
 
@@ -70,13 +70,13 @@ def base_failed(min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT) -> Col
     return (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(max_repeat) * F.col("n_words"))
 
 
-def ordered(stats: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """The rules by rejections per second of cost on the first rows of stats, the best first.
+def ordered(stats: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> list[tuple[str, str]]:
+    """The rules by rejections per second of cost on stats, rows of a sample, the best first.
 
     A rule's cost is the time that evaluating it alone takes on the cached
     sample. The order decides how much work a document takes, never its verdict.
     """
-    sample = stats.limit(sample_rows).repartition(1).cache()
+    sample = stats.repartition(1).cache()
     try:
         rows = sample.count()
         if not rows:
@@ -104,12 +104,14 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: Sequence[tuple
 
     A document is kept if it has enough words, few repeated ones, and no rule
     rejects it. A null text is empty, so rejected. estimate: rows with the
-    text column to estimate the rules' costs on, docs if not given; only the
-    first sample_rows of them are read. Rows stay one for one, with repeated
+    text column to estimate the rules' costs on, docs if not given; about
+    sample_rows of them are used. Rows stay one for one, with repeated
     rows and null ids.
     """
     stats = statistics(docs, text_col)
-    cascade = ordered(statistics((docs if estimate is None else estimate).limit(sample_rows), text_col), rules, sample_rows)
+    source = docs if estimate is None else estimate
+    share = min(1.0, sample_rows / max(1, source.count()))
+    cascade = ordered(statistics(source.select(text_col).sample(share, seed=0), text_col), rules)
     base = base_failed()
     return stats.select("*", base.alias("base_failed"), F.when(base, False).otherwise(verdict(cascade).isNull()).alias("kept"))
 
