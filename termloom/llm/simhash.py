@@ -26,7 +26,7 @@ NEAR = 4
 #: Parts are planned for so many fingerprints at least, so that smaller tables get the same.
 LEAST = 1_000_000
 #: Pairs compared at once, and members of a group beyond which only a spanning forest of its links is given.
-PAIRS, GROUP = 1 << 21, 64
+PAIRS, GROUP = 1 << 19, 64
 _BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -218,7 +218,7 @@ class Forest:
         return a != b
 
 
-def _links(distance: int, check_distance: int, most: int = 1 << 19):
+def _links(distance: int, check_distance: int, most: int = 1 << 18):
     """Rows come sorted by part and value; whole groups are handled as soon as there are enough rows.
 
     A task gives a link only if it joins what the task's links before it don't join yet.
