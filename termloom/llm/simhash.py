@@ -341,35 +341,26 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     return rows.join(final, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
-def _two_fingerprints(width: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.as_py() or b"" for x in batch.column(1)]
-            words = np.fromiter((fingerprint(b" ".join(sorted(set(t.lower().split()))), 1, seed) for t in texts), np.uint64, len(texts))
-            runs = np.fromiter((fingerprint(t, width, seed) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words.view(np.int64)), pa.array(runs.view(np.int64))], ["n", "id", "fp", "ck"])
-
-    return run
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 14, near: int = 7, seed: int = SEED, hot: int = HOT) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the smallest id.
 
-    Two texts are linked if the fingerprints of their five-word shingles are
-    at most distance bits apart, which estimates a similarity of 0.8 or more,
-    and those of their distinct words at most near bits: so few changed words
-    change these that the generalised pigeonhole finds them, which it can't at
-    14 of 64 bits. Groups are connected components. A null text counts as empty, a
-    null id comes after all others, and of repeated rows one stays.
+    Two texts are linked if their sets of five-word shingles have a Jaccard
+    index of at least similarity, computed on the whole sets; every such pair
+    is found, wherever the texts differ. Groups are connected components. A
+    null text counts as empty, a null id comes after all others, and of
+    repeated rows one stays.
     """
+    from . import jaccard
+
     spark = docs.sparkSession
     arrow_limits(spark)
     rows = written(docs.withColumn("__n", F.monotonically_increasing_id()))
     kind = docs.schema[id_col].dataType.simpleString()
-    prints = rows.select("__n", F.col(text_col).cast("binary").alias("t"), F.col(id_col).alias("id")).mapInArrow(_two_fingerprints(width, seed), f"n long, id {kind}, fp long, ck long")
+    texts = rows.select(F.col("__n").alias("n"), F.col(text_col).cast("binary").alias("t"))
+    own = rows.select(F.col(text_col).cast("binary").alias("t"), "__n", F.col(id_col).alias("id")).mapInArrow(jaccard.nodes_of(width, seed), f"n long, id {kind}, node long")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n"))
-    nodes = written(prints.groupBy("fp", "ck").agg(first.alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    roots = components(links(nodes.select("node", "fp", "ck"), near, distance, hot=hot))
+    nodes = written(own.groupBy("node").agg(first.alias("first")))
+    roots = components(jaccard.links(texts, nodes.select("node", F.col("first.n").alias("n")), similarity, width, seed))
     grouped = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias("__n"))
     return rows.join(kept, "__n", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

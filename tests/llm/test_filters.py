@@ -251,6 +251,33 @@ def test_drop_near_duplicates(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).collect() == []
 
 
+def brute_jaccard(x, y, width=5):
+    a, b = ({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set() for w in (x.lower().split(), y.lower().split()))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def copies(r, w):
+    """An appended, a cut and a scattered copy of words, at an index just above 0.8."""
+    n = len(w) - 4
+    scattered = list(w)
+    for k in range(n // 50):
+        scattered[7 + 50 * k] = f"v{r.randint(0, 10**6)}"
+    return [w + [f"a{r.randint(0, 10**6)}" for _ in range(n // 4)], w[: len(w) - n // 5], scattered]
+
+
+def test_drop_near_duplicates_finds_passages(spark):
+    r = random.Random(1)
+    rows = []
+    for n in (64, 104, 204, 404) * 3:
+        for kind in range(3):
+            w = [f"u{r.randint(0, 10**9)}" for _ in range(n)]
+            k = len(rows) // 2
+            rows += [(k, " ".join(w)), (1000 + k, " ".join(copies(r, w)[kind]))]
+            assert brute_jaccard(rows[-2][1], rows[-1][1]) >= 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect()) == list(range(len(rows) // 2))
+
+
 def test_components(spark):
     edges = [(9, 8), (8, 7), (7, 6), (1, 2), (2, 3), (3, 1), (4, 4)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 200 + i) for i in range(30)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
