@@ -278,6 +278,20 @@ def test_drop_near_duplicates_finds_passages(spark):
     assert sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect()) == list(range(len(rows) // 2))
 
 
+def test_drop_near_duplicates_keeps_pairs_below(spark):
+    r = random.Random(2)
+    rows = []
+    for k in range(40):
+        w = [f"u{r.randint(0, 10**9)}" for _ in range(204)]
+        other = list(w)
+        for x in r.sample(range(10, 194, 6), 6):
+            other[x] = "v"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+        assert 0.7 < brute_jaccard(rows[-2][1], rows[-1][1]) < 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.drop_near_duplicates(df).count() == len(rows)
+
+
 def test_components(spark):
     edges = [(9, 8), (8, 7), (7, 6), (1, 2), (2, 3), (3, 1), (4, 4)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 200 + i) for i in range(30)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
