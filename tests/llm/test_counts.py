@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -186,6 +187,20 @@ def test_lm_score(spark):
     assert lm_scoring.lm_score(df.limit(0), PATH).collect() == []
 
 
+def test_lm_learns_from_every_id():
+    from termloom.llm import attention_lm as lm
+
+    text = " ".join(f"word{i}" for i in range(2000)).encode()
+    sub = lm_scoring.Subwords(PATH)
+    place = np.arange(sub.size, dtype=np.int32)
+    ids = sub.many(text.split())[0].tolist()
+    doc = next(i for i in range(9) if not lm_scoring.held_out(i))
+    batch = pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([text], pa.binary())], ["id", "t"])
+    rows = [r for b in lm_scoring._training_windows(PATH, place)(iter([batch])) for r in b.column(1).to_pylist()]
+    targets = [t for r in rows for t in r[lm.CONTEXT + 1 :]]
+    assert targets[: len(ids) + 1] == [*ids, 0]
+
+
 def test_lm_is_better_than_frequencies_and_normalised():
     from termloom.llm import attention_lm as lm
 
