@@ -292,6 +292,26 @@ def test_drop_near_duplicates_keeps_pairs_below(spark):
     assert simhash.drop_near_duplicates(df).count() == len(rows)
 
 
+@pytest.mark.parametrize("group", [256, 1])
+def test_drop_near_duplicates_brute(spark, group, monkeypatch):
+    from termloom.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    r = random.Random(3)
+    rows = [None, "", "one", "One", "one two"]
+    for _ in range(8):
+        w = [f"u{r.randint(0, 10**9)}" for _ in range(104)]
+        below = list(w)
+        for x in (20, 40, 60):
+            below[x] = "v"
+        rows += [" ".join(x) for x in (w, *copies(r, w), w + ["tail"] * 28, w[:80], below)]
+    prose = lambda: " ".join(r.choice("abcd") for _ in range(r.randint(3, 12)))
+    rows += [prose() for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    roots = brute_components(rows, lambda x, y: brute_jaccard(x or "", y or "") >= 0.8)
+    assert sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect()) == sorted(set(roots))
+
+
 def test_components(spark):
     edges = [(9, 8), (8, 7), (7, 6), (1, 2), (2, 3), (3, 1), (4, 4)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 200 + i) for i in range(30)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
