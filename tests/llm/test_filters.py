@@ -151,6 +151,14 @@ def test_url_filter(spark):
     assert {x.verdict for x in url_filter.url_filter(df.where("page_id = 600")).collect()} == {"allow"}  # nothing to learn from
 
 
+def test_url_filter_learns_from_rules_beside_seeds(spark, monkeypatch):
+    seen, fit = [], url_filter.fit
+    monkeypatch.setattr(url_filter, "fit", lambda accepted, rejected, *x: seen.append(rejected) or fit(accepted, rejected, *x))
+    urls = [f"http://docs{i}.wiki.org/fr/" for i in range(20)] + [f"http://shop{i}.deals.net/buy" for i in range(20)] + ["http://one.casino.com/"]
+    url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    assert sorted(seen[0]) == sorted([f"^shop{i}.deals/buy$" for i in range(20)] + ["^one.casino/$"])
+
+
 def test_markov_is_normalised():
     m = url_filter.Markov(3, 256).fit(["^abc$", "^abd$"])
     known = sum(10 ** m.log10("ab" + chr(c)) / 10 ** m.log10("ab") for c in range(256))
