@@ -101,12 +101,34 @@ def test_quality(spark):
     assert {x["__row"].doc_id for x in out.where("kept").collect()} & set(range(100, 106)) == {100}
     assert {x.doc_id for x in out.where("kept").select("__row.*").collect()} & set(range(100, 106)) == {100}
     assert quality_rules.quality_rules(df.limit(0)).collect() == []
+    kept = Counter((x.doc_id, x.text, x["kept"], x.n_words) for x in quality_rules.keep(df).collect())  # the same, by the lazy cascade
+    assert kept == Counter((x["__row"].doc_id, x["__row"].text, "e", 1) for x in out.where("kept").collect())
+    assert quality_rules.keep(df).columns == df.columns
+    assert quality_rules.keep(df.limit(0)).collect() == []
     stats = quality_rules.statistics(df)
     order = quality_rules.ordered(stats)
     assert sorted(order) == sorted(quality_rules.RULES)
     assert quality_rules.ordered(stats.limit(0)) == list(quality_rules.RULES)
 
 
+def test_cascade_stops_early_and_orders_by_rows_still_in(spark):
+    # the second step rejects more rows, but hardly any that the first leaves in
+    assert quality_rules.greedy([1.0, 1.0, 1.0], {0b011: 50, 0b010: 1, 0b001: 10, 0b100: 20, 0: 5}) == [0, 2, 1]
+    assert quality_rules.greedy([10.0, 1.0], {0b01: 30, 0b10: 10}) == [1, 0]
+    rows = spark.createDataFrame([("a b",), ("boom " * 80,)], "text string").select("text", quality_rules._words().alias("__words"))
+    late = ("late", "raise_error('reached') IS NULL")
+    whole = [("early", "n_words > 0"), (quality_rules.REPEATS, ""), late]
+    assert [x["__why"] for x in quality_rules.cascade(rows, whole).collect()] == ["early", "early"]
+    with pytest.raises(Exception, match="reached"):
+        quality_rules.cascade(rows.limit(1), whole[1:]).collect()
+    r = random.Random(4)  # long texts, with repeats around the limit of the base
+    texts = [" ".join(r.choice(["x", "y", "z"] if k < r.randint(0, 40) else [f"w{r.randint(0, 10**6)}"]) for k in range(r.randint(3, 80))) for _ in range(300)] + ["same words again " * 9000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").select("doc_id", "text", quality_rules._words().alias("__words"))
+    got = {x.doc_id for x in quality_rules.cascade(df, [(quality_rules.REPEATS, "")]).where("__why is not null").collect()}
+    assert got == {i for i, t in enumerate(texts) if 100 * brute_statistics(t)[4] > 50 * brute_statistics(t)[0]}
+    assert 10 < len(got) < 290
+
+
 def test_chat(spark):
     r = random.Random(0)
     bits = ["</s>", "<s>", "[INST]", "[/INST]", "<|im_start|>", "<|im_end|>", "<|im_sep|>", "<\\|im_end|>", "[\\\\INST]", "\\", "\n", "é", "$1", "ok ", ""]
