@@ -187,18 +187,82 @@ def test_lm_score(spark):
     assert lm_scoring.lm_score(df.limit(0), PATH).collect() == []
 
 
-def test_lm_learns_from_every_id():
+def brute_log10(p, stream, at, begin):
+    """Log10 probability of the id at a place of a stream by the definition of the model; begin: the first place that its window sees."""
     from termloom.llm import attention_lm as lm
 
-    text = " ".join(f"word{i}" for i in range(2000)).encode()
+    q, now = p["query"][stream[at - 1]].astype(float), at - 1
+    weight = [np.exp(q @ p["key"][stream[j]] / np.sqrt(lm.WIDTH) + p["back"][now - j]) for j in range(begin, at)]
+    value = sum(w * p["value"][stream[j]].astype(float) for w, j in zip(weight, range(begin, at), strict=True)) / sum(weight)
+    gate = np.exp(value @ p["mix"] + sum(p[f"gate{i}"][stream[now - i]].astype(float) for i in range(lm.LAST)))
+    return np.log10((gate / gate.sum()) @ lm.distributions(p)[stream[at]])
+
+
+def test_lm_score_brute(spark, monkeypatch):
+    """Every text's score, id by id, by the model that the query has learned."""
+    from termloom.llm import attention_lm as lm
+
+    seen, trained = [], lm_scoring.trained
+    monkeypatch.setattr(lm_scoring, "trained", lambda rows, path, vocab, size: seen.append((vocab, trained(rows, path, vocab, size))) or seen[-1][1])
+    monkeypatch.setattr(lm_scoring, "BATCH", 2000)
+    r = random.Random(8)
+    words = "the of Syllable thtion é ß then, | x qqqq zebra".split()
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 120)))) for i in range(40)] + [(40, None), (41, ""), (None, "a b")]
+    got = {x.doc_id: x.score for x in lm_scoring.lm_score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, vocabulary=20).collect()}
+    (vocab, p), sub = seen[0], lm_scoring.Subwords(PATH)
+    for d, t in rows:
+        ids = sub.many(lm_scoring.words_of((t or "").encode()))[0]
+        stream = np.concatenate([np.zeros(lm.CONTEXT + 1, int), vocab.place[ids].astype(int), [0]])
+        want = vocab.within[ids].sum()
+        for k in range(len(ids) + 1):
+            want += brute_log10(p, stream, lm.CONTEXT + 1 + k, k // lm.STRIDE * lm.STRIDE)
+        assert got[d] == pytest.approx(want, rel=1e-4)
+
+
+def test_lm_counts_every_id(spark):
+    """What the mixed distributions have given adds up to the ids of all training texts, whole and of any length."""
+    from termloom.llm import attention_lm as lm
+
+    rows = [(0, " ".join(f"word{i}" for i in range(3000))), (2, "the end"), (3, None), (1, "held out"), (None, "a")]
+    df = spark.createDataFrame([(i, (t or "").encode() if t is not None else None) for i, t in rows], "id long, t binary").repartition(2)
+    assert {i for i, _ in rows if lm_scoring.held_out(i)}
     sub = lm_scoring.Subwords(PATH)
-    place = np.arange(sub.size, dtype=np.int32)
-    ids = sub.many(text.split())[0].tolist()
-    doc = next(i for i in range(9) if not lm_scoring.held_out(i))
-    batch = pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([text], pa.binary())], ["id", "t"])
-    rows = [r for b in lm_scoring._training_windows(PATH, place)(iter([batch])) for r in b.column(1).to_pylist()]
-    targets = [t for r in rows for t in r[lm.CONTEXT + 1 :]]
-    assert targets[: len(ids) + 1] == [*ids, 0]
+    count = Counter()
+    for i, t in rows:
+        if not lm_scoring.held_out(i):
+            count.update([*sub.many(lm_scoring.words_of((t or "").encode()))[0].tolist(), -1])
+    texts = count.pop(-1)
+    vocab = lm_scoring.Vocabulary(sub.size, dict(count), texts)
+    found = df.mapInArrow(lm_scoring._expect(PATH, vocab, lm.initial(vocab.unigram)), "block int, n long, x array<double>").repartition(2, "block").mapInArrow(lm_scoring._add, "block int, n long, x array<double>").collect()
+    given = np.concatenate([np.array(x.x).reshape(-1, lm.MIX) for x in sorted(found, key=lambda x: x.block)]).sum(axis=1)
+    assert given[0] == pytest.approx(texts, abs=1e-3)
+    assert all(given[vocab.place[i]] == pytest.approx(n, abs=1e-2) for i, n in count.items())
+    assert {x.n for x in found} == {sum(count.values()) + texts}
+
+
+def test_lm_gradients_and_maximisation():
+    from termloom.llm import attention_lm as lm
+
+    r = np.random.default_rng(1)
+    x, y, of = lm.windows(r.integers(1, 9, 300).astype(np.int32), np.array([200, 100]))
+    p = {k: v.astype(np.float64) for k, v in lm.initial(np.full(9, 1 / 9)).items()}
+    value, grads = lm.gradients(p, x, y)
+    for k, d in grads.items():
+        for at in r.permutation(p[k].size)[:4]:
+            if k == "word" and at % lm.MIX == 0:
+                continue  # the unigram stays
+            more = {**p, k: p[k].copy()}
+            more[k].ravel()[at] += 1e-2
+            less = {**p, k: p[k].copy()}
+            less[k].ravel()[at] -= 1e-2
+            assert (lm.gradients(more, x, y)[0] - lm.gradients(less, x, y)[0]) / 2e-2 == pytest.approx(d.ravel()[at], abs=3e-5)
+    p, before = lm.initial(np.full(9, 1 / 9)), []
+    for _ in range(4):
+        before.append(lm.loss(p, x, y))
+        given = np.zeros((9, lm.MIX))
+        lm.expect(p, lm.distributions(p).astype(np.float32), x, y, np.ones_like(of, bool), given)
+        p = lm.maximised(p, given, np.full(9, 1e-9))
+    assert before == sorted(before, reverse=True)
 
 
 def test_lm_is_better_than_frequencies_and_normalised():
