@@ -20,6 +20,10 @@ BUFFER = 1 << 19
 TOGETHER = 1 << 20
 #: Different surroundings of one anchor beyond which its windows are counted one by one across tasks.
 HOT = 20_000
+#: An anchor is frequent that starts more runs than this, and than this share of all; so there are 100,000 of these at most. Their rows are dealt to SALTS tasks.
+FREQUENT_RUNS, FREQUENT_SHARE, SALTS = 10_000, 1e-5, 64
+#: Words of a passage that is reported beside the bytes, and of its first digit; different words that a task keeps at hand.
+PASSAGE, PASSAGE_FIRST, CACHE = 51, 16, 500_000
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -38,9 +42,12 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def gram_hashes(text: np.ndarray, width: int, table: np.ndarray) -> np.ndarray:
-    """The hash of the width bytes from each position on; doubling, with one overlap for what is no power of two."""
-    h, have = table[text], 1
+def gram_hashes(text: np.ndarray, width: int, table: np.ndarray | None) -> np.ndarray:
+    """The hash of the width tokens from each position on; doubling, with one overlap for what is no power of two.
+
+    Tokens are bytes, which table gives numbers for, or without table 64-bit hashes already.
+    """
+    h, have = text if table is None else table[text], 1
     if len(h) < width:
         return h[:0]
     while 2 * have <= width:
@@ -49,11 +56,11 @@ def gram_hashes(text: np.ndarray, width: int, table: np.ndarray) -> np.ndarray:
     return _join(h[: len(h) - (width - have)], h[width - have :]) if have < width else h
 
 
-def runs(text: np.ndarray, ends: np.ndarray, table: np.ndarray, window: int = WINDOW, first: int = FIRST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(text: np.ndarray, ends: np.ndarray, table: np.ndarray | None, window: int = WINDOW, first: int = FIRST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(begin, number, digit): runs of windows that share their anchor, and the anchor's hash.
 
-    text: up to BUFFER bytes of texts that end at ends; windows do not cross
-    an end. A window's anchor is its run of `first` bytes of the smallest
+    text: up to BUFFER tokens of texts that end at ends; windows do not cross
+    an end. A window's anchor is its run of `first` tokens of the smallest
     hash, the leftmost of equals, so equal windows have equal anchors.
     """
     n = len(text) - window + 1
@@ -227,13 +234,115 @@ def _each_window(window: int, digit: int):
     return run
 
 
-def _cut(window: int, texts: bool):
+class WordHashes:
+    """64-bit hashes of the words of texts, A-Z lower-cased; keeps words at hand, up to a bound."""
+
+    def __init__(self):
+        self.at: dict[bytes, int] = {}
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        from xxhash import xxh3_64_intdigest
+
+        words = text.lower().split()  # of bytes: only A-Z, only ASCII white space
+        if len(self.at) > CACHE:
+            self.at.clear()
+        self.at.update((w, xxh3_64_intdigest(w)) for w in set(words).difference(self.at))
+        return np.fromiter(map(self.at.__getitem__, words), np.uint64, len(words))
+
+
+def _passage_anchors(window: int, first: int):
+    """As _anchors, with words for bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts = ((i, hashes(x.as_py())) for i, x in enumerate(batch.column(2)) if x.is_valid)
+            for which, begins, text, ends in _pieces(((i, t) for i, t in texts if len(t) >= window), window):
+                begin, number, digit = runs(text, ends, None, window, first)
+                part = np.searchsorted(ends, begin, side="right")
+                i = np.array(which)[part]
+                lo = begin - (ends - np.diff(ends, prepend=0))[part] + np.array(begins)[part]
+                cols = [digit.view(np.int64), k1[i], k2[i], lo.astype(np.int32), number.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "k1", "k2", "lo", "n"])
+
+    return run
+
+
+def _passage_windows(window: int):
+    """Of rows (k1, k2, t, lo, n) the 128-bit hashes of each run's windows, under a hash of them all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_intdigest
+
+        hashes, low = WordHashes(), (1 << 64) - 1
+        for batch in batches:
+            for k1, k2, text, lo, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                words = hashes(text.as_py())
+                w1, w2 = gram_hashes(words, window, None), gram_hashes(words * _TWO + _ONE, window, None)
+                own = [(w1[a : a + b], w2[a : a + b]) for a, b in zip(lo, n, strict=True)]
+                c = [xxh3_128_intdigest(x.tobytes() + y.tobytes()) for x, y in own]
+                c1, c2 = np.array([x >> 64 for x in c], np.uint64).view(np.int64), np.array([x & low for x in c], np.uint64).view(np.int64)
+                ends = np.cumsum([0, *n]).astype(np.int32)
+                listed = lambda j, own=own, ends=ends: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[j] for x in own]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(np.full(len(lo), k1)), pa.array(np.full(len(lo), k2)), pa.array(lo, pa.int32()), listed(0), listed(1)], ["c1", "c2", "k1", "k2", "lo", "w1", "w2"])
+
+    return run
+
+
+def _repeated_runs(anchors: DataFrame, another) -> DataFrame:
+    """The rows of anchors (h, k1, k2, lo, n) whose anchor starts runs at different values of another.
+
+    The rows of frequent anchors are dealt to several tasks; these anchors, a
+    bounded number, are broadcast for that.
+    """
+    counted = written(anchors.groupBy("h").agg(F.min(another).alias("a"), F.max(another).alias("b"), F.count("*").alias("m")).where("a <> b").select("h", "m"))
+    most = max(FREQUENT_RUNS, int(FREQUENT_SHARE * (counted.agg(F.sum("m")).first()[0] or 0)))
+    frequent = counted.where(F.col("m") > most).select("h", F.lit(True).alias("often"))
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("k1", "k2", "lo"), F.lit(SALTS))).otherwise(0).cast("long").alias("salt")
+    rows = anchors.join(F.broadcast(frequent), "h", "left").select("h", "k1", "k2", "lo", "n", salt)
+    wanted = counted.select("h", F.explode(F.expr(f"CASE WHEN m > {most} THEN sequence(0L, {SALTS - 1}L) ELSE array(0L) END")).alias("salt"))
+    return rows.join(wanted, ["h", "salt"], "left_semi").select("h", "k1", "k2", "lo", "n")
+
+
+def _with_runs(unique: DataFrame, found: DataFrame) -> DataFrame:
+    """(k1, k2, t, h, lo, n): texts with their runs."""
+    by_text = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "lo", "n")).alias("r"))
+    return unique.select("k1", "k2", "t").join(by_text, ["k1", "k2"]).select("k1", "k2", "t", F.col("r.h").alias("h"), F.col("r.lo").alias("lo"), F.col("r.n").alias("n"))
+
+
+def passages(unique: DataFrame, window: int = PASSAGE, first: int | None = None) -> DataFrame:
+    """(k1, k2, n_words) of texts, distinct, that share a passage of window words with another: how many words stand in such passages.
+
+    Words are what white space separates, A-Z lower-cased. Digits are words:
+    windows whose anchor stands in one text only leave first; runs whose
+    windows are all equal are taken once; then windows are counted by hash.
+    """
+    text = F.xxhash64("k1", "k2")
+    some = unique.where(F.octet_length("t") >= 2 * window - 1).select("k1", "k2", "t")
+    found = _repeated_runs(some.mapInArrow(_passage_anchors(window, first or PASSAGE_FIRST), "h long, k1 long, k2 long, lo int, n int"), text)
+    rows = _with_runs(unique, found).select("k1", "k2", "t", "lo", "n").mapInArrow(_passage_windows(window), "c1 long, c2 long, k1 long, k2 long, lo int, w1 array<long>, w2 array<long>")
+    rows = written(rows)
+    spans = rows.groupBy("c1", "c2").agg(F.min(text).alias("a"), F.max(text).alias("b"), F.first("w1").alias("w1"), F.first("w2").alias("w2"))
+    each = written(spans.select("c1", "c2", "a", "b", F.explode(F.transform(F.arrays_zip("w1", "w2"), lambda x, i: F.struct(i.alias("i"), x["w1"].alias("w1"), x["w2"].alias("w2")))).alias("x")).select("c1", "c2", "a", "b", "x.*"))
+    twice = each.groupBy("w1", "w2").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("w1", "w2")
+    hit = each.join(twice, ["w1", "w2"], "left_semi").groupBy("c1", "c2").agg(F.min("i").alias("least"), F.max("i").alias("most"), F.sort_array(F.collect_list("i")).alias("at"))
+    places = rows.select("c1", "c2", "k1", "k2", "lo").join(hit, ["c1", "c2"]).select("k1", "k2", F.transform("at", lambda i: F.col("lo") + i).alias("at"))
+    at = F.array_sort(F.flatten(F.collect_list("at")))
+    # a window adds the words that the one before it doesn't cover
+    new = F.aggregate("at", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-window).alias("last")), lambda acc, i: F.struct((acc["n"] + F.least(F.lit(window), i - acc["last"])).alias("n"), i.alias("last")))
+    return places.groupBy("k1", "k2").agg(at.alias("at")).select("k1", "k2", new["n"].alias("n_words"))
+
+
+def _cut(window: int, texts: bool, passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
-            size, removed, spans, kept = [], [], [], []
-            for text, copies, found in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
+            size, removed, spans, kept, words = [], [], [], [], []
+            for text, copies, found, shared in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist(), strict=True):
+                n = len(text.as_py().split()) if passage and copies > 1 else 0
+                words.append(n if n >= passage > 0 else shared or 0)
                 buffer = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
                 size.append(len(buffer))
                 gone = np.zeros(len(buffer) + 1, np.int32)
@@ -249,13 +358,13 @@ def _cut(window: int, texts: bool):
                 spans.append(len(_ranges(mask)[0]))
                 rest = buffer[~mask].tobytes()
                 kept.append(rest if texts else hashlib.sha256(rest).hexdigest().encode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(words, pa.int64())], ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept", "n_passage_words"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, texts: bool = True, first: int = FIRST, digit: int = DIGIT, hot: int = HOT) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept) for each row: the text without each byte inside a string of window bytes that starts anywhere else too.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, texts: bool = True, first: int = FIRST, digit: int = DIGIT, hot: int = HOT, passage: int = 0) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept, n_passage_words) for each row: the text without each byte inside a string of window bytes that starts anywhere else too.
 
     kept: the remaining bytes (binary, as a cut may split a character), or
     with texts=False their SHA-256 as hex digits in binary.
@@ -269,6 +378,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     digits down to the full depth. An anchor with over `hot` different
     surroundings has its windows counted by hash over all tasks instead.
 
+    n_passage_words: with passage, the number of words in passages of that
+    many words that another document holds too (passages()), whatever bytes
+    they have; without, 0. It removes nothing.
+
     A null text is empty. Rows of null or equal ids are texts like any other;
     other columns are ignored.
     """
@@ -283,11 +396,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark.sql(f"DROP TABLE {name}")  # from the catalogue; the files are scratch
 
     anchors = unique.where(F.octet_length("t") >= window).select("k1", "k2", "t").mapInArrow(_anchors(window, first), "h long, k1 long, k2 long, lo int, n int")
-    place = F.xxhash64("k1", "k2", "lo")
-    again = anchors.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
-    runs_ = written(anchors.join(again, "h", "left_semi"))
-    by_text = runs_.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "lo", "n")).alias("r"))
-    joined = unique.select("k1", "k2", "t").join(by_text, ["k1", "k2"]).select("k1", "k2", "t", F.col("r.h").alias("h"), F.col("r.lo").alias("lo"), F.col("r.n").alias("n"))
+    joined = _with_runs(unique, written(_repeated_runs(anchors, F.xxhash64("k1", "k2", "lo"))))
     members = written(joined.mapInArrow(_surroundings(window, False), "h long, c1 long, c2 long, k1 long, k2 long, lo int"))
     spans = joined.mapInArrow(_surroundings(window, True), "h long, c1 long, c2 long, span binary")
     spans = spans.groupBy("h", "c1", "c2").agg(F.first("span").alias("span"), F.count("*").alias("m"))
@@ -303,11 +412,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     resolved = sorted_.mapInArrow(_resolve(window, digit), "c1 long, c2 long, at array<int>, n array<int>")
     found = resolved if found is None else resolved.unionByName(found)
     cuts = members.join(found, ["c1", "c2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "at", "n")).alias("found"))
-    done = unique.join(cuts, ["k1", "k2"], "left").select("k1", "k2", "t", "copies", "found").mapInArrow(_cut(window, texts), "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return keyed.select("id", "k1", "k2").join(done, ["k1", "k2"]).select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
+    shared = passages(unique, passage).select("k1", "k2", "n_words") if passage else unique.select("k1", "k2", F.lit(0).cast("long").alias("n_words")).limit(0)
+    done = unique.join(cuts, ["k1", "k2"], "left").join(shared, ["k1", "k2"], "left").select("k1", "k2", "t", "copies", "found", "n_words")
+    done = done.mapInArrow(_cut(window, texts, passage), "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept binary, n_passage_words long")
+    return keyed.select("id", "k1", "k2").join(done, ["k1", "k2"]).select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept", "n_passage_words")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return remove_repeats(table(spark, sf_dir, "documents"), texts=False).withColumn("kept", F.col("kept").cast("string")).withColumnRenamed("kept", "kept_sha256")
+    return remove_repeats(table(spark, sf_dir, "documents"), texts=False, passage=PASSAGE).withColumn("kept", F.col("kept").cast("string")).withColumnRenamed("kept", "kept_sha256")

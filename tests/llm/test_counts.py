@@ -137,6 +137,34 @@ def brute_repeats(rows, window):
     return Counter(out)
 
 
+def brute_passages(rows, window):
+    """Number of words in windows that another row holds too, for each row."""
+    split = [(t or "").lower().encode().split() for t in rows]
+    grams = [[tuple(w[k : k + window]) for k in range(len(w) - window + 1)] for w in split]
+    held = Counter(g for x in grams for g in set(x))
+    return [len({k + j for k, g in enumerate(x) if held[g] > 1 for j in range(window)}) for x in grams]
+
+
+@pytest.mark.parametrize("often", [10_000, 1])
+def test_repeated_passages(spark, often, monkeypatch):
+    monkeypatch.setattr(repeats, "FREQUENT_RUNS", often)
+    r = random.Random(often)
+    word = lambda: r.choice(["a", "B", "b", "é", "cc", "longer", "\x00"]) + str(r.randint(0, 30))
+    some = [[word() for _ in range(n)] for n in (9, 10, 11, 12, 30, 60)]
+    rows = [None, "", " \n", "one", "x " * 40, "x " * 9, "x " * 10]
+    for _ in range(70):
+        parts = [r.choice(some) if r.random() < 0.5 else [word() for _ in range(r.randint(0, 20))] for _ in range(r.randint(0, 5))]
+        rows.append("".join(w + r.choice([" ", "\n", "  \t"]) for p in parts for w in p))
+    rows += [rows[20], rows[21], rows[21].upper() if rows[21].isascii() else rows[21], " ".join(word() for _ in range(4000)) + " " + " ".join(some[4])]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(rows)], "doc_id long, text string, n_words long").repartition(3)
+    monkeypatch.setattr(repeats, "PASSAGE_FIRST", 4)
+    out = repeats.remove_repeats(df, window=40, first=8, digit=10, passage=10).collect()
+    assert [x.n_passage_words for x in sorted(out, key=lambda x: x.doc_id)] == brute_passages(rows, 10)
+    assert 10 < sum(n > 0 for n in brute_passages(rows, 10)) < len(rows)
+    assert {x.n_passage_words for x in repeats.remove_repeats(df, window=40, first=8, digit=10).collect()} == {0}
+    assert repeats.remove_repeats(df.limit(0), passage=10).collect() == []
+
+
 @pytest.mark.parametrize(("seed", "hot"), [(0, 20_000), (1, 2), (2, 0)])
 def test_repeats(spark, seed, hot):
     r = random.Random(seed)
@@ -219,6 +247,19 @@ def test_lm_score_brute(spark, monkeypatch):
         assert got[d] == pytest.approx(want, rel=1e-4)
 
 
+def test_lm_stretches_have_whole_words():
+    from termloom.llm import attention_lm as lm
+
+    texts = ["aé " * 3000 + "é" * 9000 + " éa" * 3000, "one two", "", "語" * 5000]
+    place = np.arange(lm_scoring.Subwords(PATH).size, dtype=np.int32)
+    doc = [i for i in range(20) if not lm_scoring.held_out(i)][:4]
+    batch = pa.RecordBatch.from_arrays([pa.array(doc), pa.array([t.encode() for t in texts], pa.binary())], ["id", "t"])
+    rows = [np.frombuffer(x, np.int32).reshape(-1, lm.SPAN + 1) for b in lm_scoring._start(PATH, place, 1.0)(iter([batch])) for x in b.column(2).to_pylist()]
+    whole = {tuple(ids(" " + w)) for w in ("aé", "éa", "one", "two")}
+    seen = np.concatenate([x[:, lm.CONTEXT + 1 :].ravel() for x in rows])
+    assert set(seen.tolist()) == {0, *(i for w in whole for i in w)}
+
+
 def test_lm_counts_every_id(spark):
     """What the mixed distributions have given adds up to the ids of all training texts, whole and of any length."""
     from termloom.llm import attention_lm as lm
