@@ -10,8 +10,10 @@ from .common import ascii_lower, held, written
 WINDOW = 10
 #: A word after lower-casing, and before.
 WORD, RAW_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Most windows whose hashes are sent to every task; more are joined by a shuffle.
+#: Most windows whose hashes and words every task gets as a set. Of more, every task gets a Bloom filter, and what passes it is joined.
 MAX_SET = 100_000
+#: Bits of the Bloom filter for each window, as far as it has no more than MOST_BITS (8 MB) in all. Fewer bits cost work, never hits.
+BITS, MOST_BITS = 16, 1 << 26
 
 
 def _words(text: Column) -> Column:
@@ -35,14 +37,38 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return rows.select("item", F.explode(F.coalesce(*kinds)).alias("x")).groupBy("x.length", "x.hash", "x.words").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def _occurrences(length: int, hashes: list[int] | None, texts: list[str] | None) -> Column:
-    """The windows of a length, of those in the given sets if there are any, as (begin, length, words)."""
+_FOUND = "array<struct<begin: int, length: int, words: string>>"
+
+
+def _occurrences(length: int, hashed, said) -> Column:
+    """The windows of a length as (begin, length, words): those whose hash passes hashed and whose words pass said, both functions of a column."""
     at = F.when(F.size("words") >= length, F.sequence(F.lit(0), F.size("words") - length))
-    if hashes:
-        at = F.filter(at, lambda i: _hash("__h", i, length).isin(hashes))
-        at = F.filter(at, lambda i: _text("words", i, length).isin(texts))
+    at = F.filter(F.filter(at, lambda i: hashed(_hash("__h", i, length))), lambda i: said(_text("words", i, length)))
     entries = F.transform(at, lambda i: F.struct(i.alias("begin"), F.lit(length).alias("length"), _text("words", i, length).alias("words")))
-    return F.coalesce(entries, F.array().cast("array<struct<begin: int, length: int, words: string>>"))
+    return F.coalesce(entries, F.array().cast(_FOUND))
+
+
+def _bloom(windows: DataFrame, n: int):
+    """A function of a hash column: false for hashes that no window has, true for those of windows and, by chance, some others.
+
+    Two bits of each window's hash are set in one array of longs, at most
+    MOST_BITS / 64 of them, which becomes a constant of the plan.
+    """
+    size = min(MOST_BITS, max(1 << 10, 1 << (BITS * n - 1).bit_length()))
+    places = lambda h: (h.bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(size - 1)))
+    bits = windows.select(F.explode(F.array(*places(F.col("hash")))).alias("p")).groupBy(F.shiftright("p", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("x"))
+    found = bits.toArrow()
+    filled = [0] * (size // 64)
+    for i, x in zip(found["i"].to_pylist(), found["x"].to_pylist(), strict=True):
+        filled[i] = x
+    table = F.from_json(F.lit(str(filled)), "array<long>")  # folded into a constant
+    bit = lambda p: F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    def passes(h: Column) -> Column:
+        a, b = places(h)
+        return bit(a) & bit(b)
+
+    return passes
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", item_text_col: str = "text", window: int = WINDOW, max_set: int = MAX_SET) -> tuple[DataFrame, DataFrame]:
@@ -50,28 +76,35 @@ def scan(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_
 
     Up to max_set windows, a count that is taken first, each task tests the
     window hashes of its rows against a hash set in its own memory, and then
-    the words themselves, so texts are not shuffled. More windows are joined
-    by a shuffle on hash and words, to rows numbered in a written copy of docs.
+    the words themselves, so texts are not shuffled. For more windows the hash
+    set is a Bloom filter of bounded size; only windows that pass it become
+    rows, which are joined to the benchmark's words and then, by number, to a
+    written copy of docs.
     """
     windows = benchmark_windows(benchmark, item_col, item_text_col, window)
     known = windows.select("length", "hash", "words").limit(max_set + 1).collect()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     small = len(known) <= max_set
     if not small:
-        known = windows.select("length").distinct().collect()
+        windows = written(windows)
+        lengths = {x["length"]: x["count"] for x in windows.groupBy("length").count().collect()}
+        passes = _bloom(windows, sum(lengths.values()))
         rows = written(rows.withColumn("__n", F.monotonically_increasing_id()))
     rows = rows.select("*", _words(F.col("text")).alias("words"))
     rows = rows.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("__h"))
     found = []
-    for length in sorted({x.length for x in known}):
-        own = [x for x in known if x.length == length] if small else None
-        found.append(_occurrences(length, own and [x.hash for x in own], own and [x.words for x in own]))
-    found = F.concat(*found) if found else F.array().cast("array<struct<begin: int, length: int, words: string>>")
+    for length in sorted({x.length for x in known} if small else lengths):
+        own = [x for x in known if x.length == length]
+        if small:
+            found.append(_occurrences(length, lambda h, own=own: h.isin([x.hash for x in own]), lambda t, own=own: t.isin([x.words for x in own])))
+        else:
+            found.append(_occurrences(length, passes, lambda t: F.lit(True)))
+    found = F.concat(*found) if found else F.array().cast(_FOUND)
     if small:
         return held(rows.select("__row", "text", "words", found.alias("found"))), windows
-    every = rows.select("__n", F.explode(found).alias("x")).select("__n", "x.*")
-    hit = every.join(windows.select("length", F.col("words")), ["length", "words"], "left_semi").groupBy("__n").agg(F.sort_array(F.collect_list(F.struct("begin", "length", "words"))).alias("found"))
-    out = rows.join(hit, "__n", "left").select("__row", "text", "words", F.coalesce("found", F.array().cast("array<struct<begin: int, length: int, words: string>>")).alias("found"))
+    every = held(rows.select("__n", found.alias("found"))).select("__n", F.explode("found").alias("x")).select("__n", "x.*")
+    hit = every.join(windows.select("length", "words"), ["length", "words"], "left_semi").groupBy("__n").agg(F.sort_array(F.collect_list(F.struct("begin", "length", "words"))).alias("found"))
+    out = rows.join(hit, "__n", "left").select("__row", "text", "words", F.coalesce("found", F.array().cast(_FOUND)).alias("found"))
     return out, windows
 
 
