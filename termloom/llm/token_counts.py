@@ -59,14 +59,21 @@ def splice(text: str, encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> int
     both have a token's edge and that is stable(): left of it the first chunk
     has the tokens of the whole text, right of it the second. Where there is
     none, the overlap doubles, at last back to the joint before, which makes
-    the second chunk begin at a known edge.
+    the second chunk begin at a known edge. An overlap without a stable
+    position is widened without being encoded; where there is none back to
+    the joint, the text since it is one run, and the chunk grows as long
+    again: so an unbroken run is encoded at most about three times over, and
+    a worker then holds the run, as the library itself does.
     """
     begin, end = 0, min(chunk, len(text))
     left = encode(text[begin:end]).offsets
     total = joint = first = 0  # first: tokens of left before the joint
     while end < len(text):
+        last = next((p for p in range(end - 1, joint, -1) if stable(text, p)), None)
         far, width = min(end + chunk, len(text)), overlap
-        while (start := max(joint, end - width)) > joint:
+        while last is not None and end - width >= last:
+            width *= 2
+        while last is not None and (start := max(joint, end - width)) > joint:
             right = encode(text[start:far]).offsets
             a, b = _edges(left, begin), _edges(right, start)
             if p := max((p for p in a.keys() & b.keys() if p < end and stable(text, p)), default=0):
@@ -75,7 +82,8 @@ def splice(text: str, encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> int
                 break
             width *= 2
         else:
-            right, first = encode(text[joint:far]).offsets, 0
+            start, far = joint, min(end + max(chunk, end - joint), len(text))
+            right, first = encode(text[start:far]).offsets, 0
         left, begin, end = right, start, far
     return total + len(left) - first
 
@@ -97,7 +105,9 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     tokenizer: a .json file of that library, at the same path on all machines.
     Texts above chunk code points are encoded in overlapping pieces, so that a
-    worker's memory holds the tokens of one piece only.
+    worker's memory holds the tokens of one piece only, or of one unbroken run.
+    Shorter ones are counted by the same merges as ranks, where the file
+    allows that (by_ranks()): the counts agree, at a quarter of the time.
     A null text is empty. Rows stay as they are, repeated and null ids too;
     other columns are ignored.
     """
