@@ -235,17 +235,19 @@ def shipped(spark: SparkSession, words: list[str], tokenizer: str) -> str:
 
 
 class Codec:
-    """Encodes words by a lexicon, or by merging; keeps the words seen, up to a bound."""
+    """Encodes words by a lexicon, or by merging; keeps the words seen, up to a bound.
+
+    Of the lexicon, which all workers of a machine map, only words that are
+    seen become objects of a worker's own.
+    """
 
     def __init__(self, path: str, lexicon: str, keep_ids: bool = True):
         self.merges, self.keep_ids = Merges(path), keep_ids
         ranks = by_ranks(path, self.merges)
-        self.merge = ranks._core_bpe.encode_single_piece if ranks else self.merges.merge
+        self.merge = ranks.encode_ordinary if ranks else lambda word: self.merges.merge(word.encode())
         self.lexicon = Lexicon(np.load(SparkFiles.get(lexicon), mmap_mode="r"))
         size = max(self.merges.bytes_of) + 1
         self.digits, self.bytes = list(map(str, range(size))), [self.merges.bytes_of.get(i, b"") for i in range(size)]
-        ids, ends = self.lexicon.ids.tolist(), self.lexicon.ends.tolist()
-        self.known = self._entries([ids[a:b] for a, b in zip(ends, ends[1:], strict=False)])
         self._new()
 
     def _entries(self, ids: list[list[int]]) -> tuple[list[str], list[int], list[bytes], list]:
@@ -269,11 +271,8 @@ class Codec:
         if len(self.at) > CACHE:
             self._new()
         new = list(set(chain.from_iterable(split)).difference(self.at))
-        coded = [w.encode() for w in new]
-        places = self.lexicon.find(coded).tolist()
-        seen = [i for i in places if i >= 0]
-        self._put([w for w, i in zip(new, places, strict=True) if i >= 0], tuple([c[i] for i in seen] if c else [] for c in self.known))
-        self._put([w for w, i in zip(new, places, strict=True) if i < 0], self._entries([self.merge(b) for b, i in zip(coded, places, strict=True) if i < 0]))
+        places = self.lexicon.find([w.encode() for w in new]).tolist()
+        self._put(new, self._entries([self.lexicon.encoded(i) if i >= 0 else self.merge(w) for w, i in zip(new, places, strict=True)]))
         return [list(map(self.at.__getitem__, x)) for x in split]
 
 
