@@ -37,13 +37,13 @@ def _explode(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, a, b = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for i, text in enumerate(batch.column(1)):
                 found = set(_line_hashes((text.as_py() or b"").split(b"\n"), min_chars))
                 found.discard(0)
-                d += [doc] * len(found)
+                d += [i] * len(found)
                 a += [_signed(x >> 64) for x in found]
                 b += [_signed(x & low) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["__d", "__a", "__b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d, pa.int64())), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["__d", "__a", "__b"])
 
     return run
 
@@ -77,7 +77,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     max_docs documents hold loses its lines everywhere but in the document of
     the smallest id.
 
-    Only hashes travel to be counted, summed before the shuffle, so a line
+    Ids may be of any type that has an order. Only hashes travel to be counted, summed before the shuffle, so a line
     that every document holds is a few rows. A null or empty text is one empty
     line. Rows of one id are one document: they never make each other's lines
     repeat. Rows with a null id count as one document that comes after all
@@ -85,8 +85,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     arrow_limits(docs.sparkSession)
     kept = F.struct(*(F.col(f"`{c}`") for c in keep or [id_col])).alias("__row")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__d"), F.col(text_col).cast("binary").alias("__t"), kept)
-    lines = rows.select("__d", "__t").mapInArrow(_explode(min_chars), "__d long, __a long, __b long")
+    own = F.col(f"`{id_col}`")
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    doc = F.coalesce(own.cast("long"), F.lit(NO_ID)) if whole else F.struct(own.isNull().alias("none"), own.alias("id"))
+    rows = docs.select(doc.alias("__d"), F.col(f"`{text_col}`").cast("binary").alias("__t"), kept)
+    lines = rows.select("__d", "__t").mapInArrow(_explode(min_chars), T.StructType([rows.schema["__d"], T.StructField("__a", T.LongType()), T.StructField("__b", T.LongType())]))
     if max_docs == 1:
         held = lines.groupBy("__a", "__b").agg(F.min("__d").alias("__first"), F.max("__d").alias("__last")).where("__first <> __last").drop("__last")
     else:
@@ -98,7 +101,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.collect_set(F.struct("__a", "__b")).alias("__x"))
         .select("__d", F.col("__x.__a").alias("__a"), F.col("__x.__b").alias("__b"))
     )
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("row", rows.schema["__row"].dataType), T.StructField("text", T.BinaryType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([T.StructField("id", rows.schema["__d"].dataType), T.StructField("row", rows.schema["__row"].dataType), T.StructField("text", T.BinaryType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     out = rows.join(drops, "__d", "left").select("__d", "__row", "__t", "__a", "__b").mapInArrow(_reassemble(min_chars), schema)
     first = F.col("row") if keep else F.col(f"row.`{id_col}`").alias(id_col)
     return out.select(first, F.col("text").cast("string").alias("text"), "n_lines", "n_dropped")
