@@ -56,16 +56,17 @@ def chat_format(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn"
             (t["role"] == "assistant").alias("loss"),
         ),
     )
-    whole = turns.select("id", pieces.alias("p")).select("id", "p", F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], x["tail"])), "").alias("formatted"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<begin: long, length: long>>)").alias("spans"))
     length = lambda c: F.char_length(c).cast("long")
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + length(x["head"])
-        span = F.struct(begin.alias("begin"), length(x["body"]).alias("length"))
-        return F.struct((begin + length(x["body"]) + length(x["tail"])).alias("at"), F.when(x["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    return whole.select(F.col("id").alias(id_col), "formatted", F.aggregate("p", zero, step)["spans"].alias("loss_spans"))
+    whole = turns.select("id", pieces.alias("p")).select("*", F.transform("p", lambda x: length(x["head"]) + length(x["body"]) + length(x["tail"])).alias("n"), F.ceil(F.sqrt(F.size("p"))).cast("int").alias("b"))
+    # where blocks of about as many pieces as there are blocks begin: sums of sums, so that no step copies what all steps before it have made
+    added = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    sums = F.transform(F.sequence(F.lit(0), F.ceil(F.size("p") / F.col("b")).cast("int") - 1), lambda k: added(F.slice("n", k * F.col("b") + 1, F.col("b"))))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<long>)").alias("all"))
+    starts = F.aggregate(sums, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
+    whole = whole.select("*", starts.alias("s")).select("id", "p", "n", "b", "s", F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], x["tail"])), "").alias("formatted"))
+    inside = lambda i: F.get("s", F.floor(i / F.col("b")).cast("int")) + added(F.slice("n", i - i % F.col("b") + 1, i % F.col("b")))
+    span = F.transform("p", lambda x, i: F.when(x["loss"], F.struct((inside(i) + length(x["head"])).alias("begin"), length(x["body"]).alias("length"))))
+    return whole.select(F.col("id").alias(id_col), "formatted", F.filter(span, lambda x: x.isNotNull()).alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
