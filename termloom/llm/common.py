@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,9 +30,11 @@ def arrow_limits(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder's path in the shared folder of the session, or in a temporary one where none is set."""
+    """A new folder's path in the shared folder of the session, or, on one machine, in a temporary one where none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         shared = tempfile.mkdtemp(prefix="termloom-")
         spark.sparkContext.setCheckpointDir(shared)
     return f"{shared.rstrip('/')}/termloom-{uuid.uuid4().hex}"

@@ -52,6 +52,20 @@ def test_splice_widens_without_stable_edges():
         assert token_counts.splice(t, encode, 200, 20) == len(ids(t))
 
 
+def test_unbroken_runs_are_linear():
+    sizes = []
+
+    def encode(s):
+        sizes.append(len(s))
+        return LIBRARY.encode(s, add_special_tokens=False)
+
+    for n in (20_000, 80_000):
+        for t in ("ab" * (n // 2), "語" * n, "ab cd " * (n // 12) + "x" * (n // 2)):
+            sizes.clear()
+            assert token_counts.splice(t, encode, 1000, 50) == len(ids(t))
+            assert sum(sizes) <= 3 * len(t)
+
+
 def test_token_counts(docs, none):
     got = sorted(token_counts.token_counts(docs, PATH, chunk=200, overlap=20).collect(), key=str)
     want = sorted(((d, len((t or "").encode()), len(ids(t)), len(ids(t)) > 512) for d, t, *_ in docs.collect()), key=lambda x: f"Row(doc_id={x[0]}, n_bytes={x[1]}, n_tokens={x[2]}, over_limit={x[3]})")
@@ -124,6 +138,12 @@ def test_line_dedup(spark, most):
     assert line_dedup.line_dedup(df.limit(0)).collect() == []
 
 
+def test_line_dedup_takes_ids_of_any_type(spark):
+    rows = [("b", "the same long line\nown line of b"), ("a", "the same long line"), (None, "The same long line \nshort"), ("c", None), ("a", "the same long line")]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert Counter(tuple(x) for x in out.collect()) == Counter([("b", "own line of b", 2, 1), ("a", "the same long line", 1, 0), ("a", "the same long line", 1, 0), (None, "short", 2, 1), ("c", "", 1, 0)])
+
+
 def brute_repeats(rows, window):
     seen = Counter(t[k : k + window] for _, t in rows for k in range(len(t) - window + 1))
     out = []

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from termloom.llm import chat_format, decontaminate, quality_rules, simhash, url_filter
 from termloom.llm.graph import components
@@ -78,6 +79,25 @@ def test_decontaminate(leaks, most):
     assert Counter((x.doc_id, x.text) for x in whole) == Counter((i, t) for i, t in docs if hits[i, len(words(t))] == 0)
 
 
+def test_many_windows_pass_a_filter(spark, monkeypatch):
+    """Over the set's bound: the same hits, also where the filter is crowded, and rows for windows that pass it only."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(r.choice(words) for _ in range(30))) for i in range(200)]
+    docs = [(i, " ".join(r.choice(words) for _ in range(200)) + (" " + items[i][1] if i % 4 == 0 else "")) for i in range(60)] + [(100, "long " * 60_000 + items[3][1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_report(docs, items, 10)
+    for most in (1 << 26, 1 << 10):
+        monkeypatch.setattr(decontaminate, "MOST_BITS", most)
+        got = Counter((x.doc_id, x.n_words, x.n_hit, tuple(x["items"])) for x in decontaminate.report(d, b, max_set=10).collect())
+        assert got == want
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 1 << 26)
+    windows = decontaminate.benchmark_windows(b)
+    passes = decontaminate._bloom(windows, windows.count())
+    assert windows.where(passes(windows.hash)).count() == windows.count()
+    assert spark.range(100_000).selectExpr("xxhash64(id) AS h").where(passes(F.col("h"))).count() < 2500
+
+
 def brute_statistics(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -134,9 +154,10 @@ def test_chat(spark):
     bits = ["</s>", "<s>", "[INST]", "[/INST]", "<|im_start|>", "<|im_end|>", "<|im_sep|>", "<\\|im_end|>", "[\\\\INST]", "\\", "\n", "é", "$1", "ok ", ""]
     rows = [(c, t, r.choice(["user", "assistant", "system", None, "we\nird\\n", "<s>"]), "".join(r.choice(bits) for _ in range(r.randint(0, 6)))) for c in (1, 2, 3, None) for t in range(9)]
     rows += [(5, None, "assistant", None), (5, 0, "assistant", ""), (5, 0, "assistant", ""), (6, 1, "assistant", "x" * 5000)]
+    rows += [(7, t, r.choice(["user", "assistant"]), f"<s>{t}") for t in range(1000)]
     df = spark.createDataFrame([(*x, "e") for x in rows], "conv_id long, turn long, role string, text string, turns string").repartition(3)
     back = {x.conv_id: x for x in chat_format.read_back(chat_format.chat_format(df)).collect()}
-    for c in (1, 2, 3, None, 5, 6):
+    for c in (1, 2, 3, None, 5, 6, 7):
         own = sorted(((-1 if t is None else t), role or "", text or "") for i, t, role, text in rows if i == c)
         assert [(x.role, x.text) for x in back[c].turns] == [x[1:] for x in own]
         assert list(back[c].loss) == [x[2] for x in own if x[1] == "assistant"]
