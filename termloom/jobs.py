@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import providers as P
@@ -17,13 +17,17 @@ from .operators import grouping as G
 from .operators import merge as M
 from .operators import ranking as R
 from .operators import vectors as W
+from .scratch import written
 
 
 def page_terms(pages: DataFrame, keyword: str = "", extractor: Callable = P.StubExtractor, embedder: Callable = P.StubEmbedder, labels: Sequence[str] = G.LABELS, threshold: float = W.DUPLICATE) -> DataFrame:
-    """Terms of pages (page_id, url, html): parsed, gated, cut into windows, extracted, ranked by the title, deduplicated, limited and clustered."""
+    """Terms of pages (page_id, url, html): parsed, gated, cut into windows, extracted, ranked by the title, deduplicated, limited and clustered.
+
+    Pages that pass are parsed once and written; their terms go through one branch.
+    """
     parsed = H.parse_pages(pages)
     skip, most = X.gate("content", "title")
-    good = parsed.withColumns({"skip": skip, "most": most}).where("skip IS NULL").select("page_id", "url", "domain", "title", "most", X.truncated("content").alias("content"))
+    good = written(parsed.withColumns({"skip": skip, "most": most}).where("skip IS NULL").select("page_id", "url", "domain", "title", "most", X.truncated("content").alias("content")))
     windows = good.select("page_id", F.explode(K.chunks("content")).alias("c")).select("page_id", F.col("c.begin").alias("begin"), F.col("c.text").alias("text"))
     spans = P.extract(windows, extractor, labels, ["page_id", "begin"])
     spans = M.aggregate_spans(spans.withColumn("ord", F.struct("begin", "ord")))
@@ -35,8 +39,7 @@ def page_terms(pages: DataFrame, keyword: str = "", extractor: Callable = P.Stub
     kept = R.top_n(kept, ["page_id"], ["ord"], F.col("most"))
     seeds = good.select("page_id", F.posexplode(X.seed_texts("title")).alias("seed_ord", "seed")).select("page_id", "seed_ord", vectors("seed").alias("vector"))
     relevant = W.seed_relevance(kept, seeds)
-    clusters = W.title_clusters(relevant)
-    return relevant.join(clusters.select("page_id", "ord", "cluster"), ["page_id", "ord"]).withColumn("relevance", F.col("biencoder_score"))
+    return W.title_clusters(relevant, carry=[c for c in relevant.columns if c not in ("page_id", "ord", "vector", "title_vector", "relevant")]).withColumn("relevance", F.col("biencoder_score"))
 
 
 def merged_session(terms: DataFrame, pages: DataFrame, ratio: float = 0.8, by: Sequence[str] = ("session_id",), selected: DataFrame | None = None) -> DataFrame:
@@ -51,20 +54,33 @@ def merged_session(terms: DataFrame, pages: DataFrame, ratio: float = 0.8, by: S
 def tiered_session(entities: DataFrame, anchors: DataFrame, vectors: DataFrame, keyword: str, by: Sequence[str] = ("session_id",), method: str = "proportional_instance_v1", domains: DataFrame | None = None, average_words: Column | None = None, variants: Sequence[str] | None = None) -> DataFrame:
     """Final tiers of merged entities (by, key, text, ...). method: proportional_instance_v1 or percentile.
 
-    anchors: by, anchor, anchor_ord, vector; vectors: by, key, vector. The
-    method that was used is in the column tiering_method; a session without anchors
-    or vectors has no proportional tiers.
+    anchors: by, anchor, anchor_ord, vector; vectors: by, key, vector. A
+    session without anchors, or without a vector for any of its terms, falls
+    back to percentile tiers; the method that was used is in the column
+    tiering_method. Terms of too many words leave first; the keyword, its
+    variants and the session's anchors are exempt.
     """
-    by = list(by)
-    if method == "percentile":
-        out = R.percentile_tiers(entities, by, [F.desc("average_weightage"), "key"])
-        return R.numeric_cap(out, [*by, "tier"], [F.desc("average_weightage"), "key"], exempt=[keyword]).withColumn("tiering_method", F.lit(method))
-    if method != "proportional_instance_v1":
+    by, names = list(by), [keyword, *(variants or ())]
+    if method not in ("percentile", "proportional_instance_v1"):
         raise ValueError(f"no tiering method {method!r}")
-    terms = entities.select(*by, "key", "text").join(vectors, [*by, "key"]).withColumn("ord", F.col("key"))
+    exempt = anchors.select(*by, X.text_key("anchor").alias("__key")).distinct().withColumn("__anchor", F.lit(True))
+    short = entities.withColumn("__key", X.text_key("text")).join(exempt, [*by, "__key"], "left")
+    short = short.where(X.within_word_limit("text", names) | F.coalesce("__anchor", F.lit(False)))
+
+    def percentile(rows: DataFrame) -> DataFrame:
+        out = R.percentile_tiers(rows, by, [F.desc("average_weightage"), "key"]).withColumn("ord", F.row_number().over(Window.partitionBy(*by, "tier").orderBy(F.desc("average_weightage"), "key")))
+        anchor = X.is_exempt("text", names) | F.coalesce("__anchor", F.lit(False))
+        return R.numeric_cap(out, [*by, "tier"], ["ord"], exempt=anchor).drop("__key", "__anchor").withColumn("tiering_method", F.lit("percentile"))
+
+    if method == "percentile":
+        return percentile(short)
+    kept = short.drop("__key", "__anchor")
+    terms = kept.select(*by, "key", "text").join(vectors, [*by, "key"]).withColumn("ord", F.col("key"))
     order = C.anchor_order(anchors.withColumn("ord", F.col("anchor_ord")), keyword, by, variants=variants)
-    assigned = C.anchor_tiers(W.similarities(anchors, terms, by), [*by, "anchor"]).join(order, [*by, "anchor"])
-    return C.final_tiers(assigned, entities, keyword, by, domains, average_words, variants or ()).withColumn("tiering_method", F.lit(method))
+    assigned = written(C.anchor_tiers(W.similarities(anchors, terms, by), [*by, "anchor"]).join(order, [*by, "anchor"]))
+    out = C.final_tiers(assigned, kept, keyword, by, domains, average_words, variants or ()).withColumn("tiering_method", F.lit(method))
+    rest = percentile(short.join(assigned.select(*by).distinct(), by, "left_anti"))
+    return out.unionByName(rest, allowMissingColumns=True)
 
 
 def session_document(tiered: DataFrame, by: Sequence[str] = ("session_id",)) -> DataFrame:

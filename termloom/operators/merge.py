@@ -50,7 +50,8 @@ def merge_terms(terms: DataFrame, by: Sequence[str] = ("session_id",), ratio: fl
     keybert_score, ord (the term's place in its page). Of each page the best
     ratio of terms takes part. Averages are weighted by count; the label is
     voted for by count. Sums combine on the map side; nothing of a key is
-    gathered but its distinct domains, sources, forms and labels.
+    gathered but its distinct sources and domains, which are columns of the
+    result: so many strings as sites have the term.
     """
     by, page = list(by), list(page)
     score = F.coalesce(F.nullif("weightage", F.lit(0)), F.nullif("relevance", F.lit(0)), F.col("keybert_score"), F.lit(0.0))
@@ -59,20 +60,30 @@ def merge_terms(terms: DataFrame, by: Sequence[str] = ("session_id",), ratio: fl
     keys = [*by, "key"]
     weighted = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.col("count"))
     bert = F.col("source") == "keybert"
-    sums = rows.groupBy(*keys).agg(
-        F.sum("count").alias("combined_count"),
-        F.sort_array(F.collect_set("source")).alias("sources"),
-        F.round(weighted("relevance") / F.sum("count"), 4).alias("average_relevance"),
-        F.round(weighted("weightage") / F.sum("count"), 4).alias("average_weightage"),
-        F.round(F.coalesce(F.sum(F.when(bert, F.coalesce("keybert_score", F.lit(0.0)) * F.col("count"))) / F.sum(F.when(bert, F.col("count"))), F.lit(0.0)), 4).alias("average_keybert_score"),
-        F.count_distinct("domain").alias("competitor_count"),
-        F.sort_array(F.collect_set("domain")).alias("found_in_files"),
-        F.min(F.struct(*page, "ord")).alias("first_seen"),
-    )
-    counts = rows.groupBy(*keys, "source").agg(F.sum("count").alias("n")).groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "n")))).alias("source_counts"))
-    forms = best_form(rows.withColumn("n", F.lit(1)), keys, "form")
-    labels = vote(rows.withColumn("first", F.struct(*page, "ord")), keys, "label", "count", "first")
-    out = sums.join(counts, keys).join(forms, keys).join(labels, keys, "left")
+    # one row for each combination that occurs, then sums of these for several groupings at once: rows are read and shuffled once
+    each = rows.groupBy(*keys, "source", "form", "label", "domain").agg(
+        F.count("*").alias("rows"), F.sum("count").alias("count"), weighted("relevance").alias("relevance"), weighted("weightage").alias("weightage"),
+        F.coalesce(F.sum(F.when(bert, F.coalesce("keybert_score", F.lit(0.0)) * F.col("count"))), F.lit(0.0)).alias("keybert"), F.min(F.struct(*page, "ord")).alias("first"),
+    )
+    kinds = ("source", "form", "label", "domain")
+    sets = [[F.col(c) for c in (*keys, *kind)] for kind in ((), *((k,) for k in kinds))]
+    sums = each.groupingSets(sets, *keys, *kinds).agg(F.grouping_id().alias("g"), *(F.sum(c).alias(c) for c in ("rows", "count", "relevance", "weightage", "keybert")), F.min("first").alias("first"))
+    of = {kind: F.col("g") == 15 - (8 >> i) for i, kind in enumerate(kinds)}  # the bit of a column that is grouped by is 0
+    whole = lambda c: F.max(F.when(F.col("g") == 15, F.col(c)))
+    bert_count = F.sum(F.when(of["source"] & bert, F.col("count")))
+    named = of["label"] & (F.coalesce("label", F.lit("")) != "")
+    out = sums.groupBy(*keys).agg(
+        whole("count").alias("combined_count"),
+        F.sort_array(F.collect_list(F.when(of["source"], F.struct("source", F.col("count").alias("n"))))).alias("by_source"),
+        F.round(whole("relevance") / whole("count"), 4).alias("average_relevance"),
+        F.round(whole("weightage") / whole("count"), 4).alias("average_weightage"),
+        F.round(F.coalesce(F.sum(F.when(of["source"] & bert, F.col("keybert"))) / bert_count, F.lit(0.0)), 4).alias("average_keybert_score"),
+        F.count_if(of["domain"] & F.col("domain").isNotNull()).alias("competitor_count"),
+        F.sort_array(F.collect_list(F.when(of["domain"], F.col("domain")))).alias("found_in_files"),
+        whole("first").alias("first_seen"),
+        F.min_by("form", F.when(of["form"], F.struct(-F.col("rows"), -F.char_length("form"), F.col("form")))).alias("form"),
+        F.min_by("label", F.when(named, F.struct(-F.col("count"), F.col("first")))).alias("label"),
+    ).withColumns({"sources": F.transform("by_source", lambda x: x["source"]), "source_counts": F.map_from_entries("by_source")})
     other = F.when(F.array_contains("sources", "keybert"), "Keyphrase").otherwise("Other")
     return out.select(
         *keys,
@@ -88,8 +99,9 @@ def merge_terms(terms: DataFrame, by: Sequence[str] = ("session_id",), ratio: fl
 def word_range(entities: DataFrame, average_words: Column | str, by: Sequence[str], weight: str = "adjusted_weightage") -> DataFrame:
     """Column word_range: an entity's share of the weight, of 60 % of the average words of a page, rounded up; 0 without words."""
     x = (F.col(average_words) if isinstance(average_words, str) else average_words) * WORD_SHARE
-    total = F.sum(weight).over(Window.partitionBy(*by))
-    return entities.withColumn("word_range", F.when((total > 0) & (x > 0), F.ceil(F.col(weight) / total * x)).otherwise(0).cast("long"))
+    totals = entities.groupBy(*by).agg(F.sum(weight).alias("__total"))
+    share = F.when((F.col("__total") > 0) & (x > 0), F.ceil(F.col(weight) / F.col("__total") * x)).otherwise(0).cast("long")
+    return entities.join(totals, list(by)).withColumn("word_range", share).drop("__total")
 
 
 def merge_by_occurrence(terms: DataFrame, by: Sequence[str] = ("session_id",), page: Sequence[str] = ("page_id",)) -> DataFrame:
@@ -126,10 +138,13 @@ def embedding_map(terms: DataFrame, by: Sequence[str], order: str, vector: str =
 
 def aggregate_spans(spans: DataFrame, by: Sequence[str] = ("page_id",), order: str = "ord") -> DataFrame:
     """Extracted spans by text of any case: count, and the most frequent spelling and label, the first of equals."""
-    rows = spans.where(T.valid_span("text")).withColumns({"text": T.trimmed("text"), "one": F.lit(1), "label": F.coalesce(F.nullif(F.trim("label"), F.lit("")), F.lit("Other"))}).withColumn("key", F.lower("text"))
+    rows = spans.where(T.valid_span("text")).withColumns({"text": T.trimmed("text"), "label": F.coalesce(F.nullif(F.trim("label"), F.lit("")), F.lit("Other"))}).withColumn("key", F.lower("text"))
     keys = [*by, "key"]
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("count"), F.min(order).alias("first"))
-    return counts.join(vote(rows, keys, "text", "one", order), keys).join(vote(rows, keys, "label", "one", order), keys)
+    sets = [[F.col(c) for c in (*keys, *kind)] for kind in ((), ("text",), ("label",))]
+    sums = rows.groupingSets(sets, *keys, "text", "label").agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.min(order).alias("first"))
+    best = lambda c, g: F.min_by(c, F.when(F.col("g") == g, F.struct(-F.col("n"), F.col("first")))).alias(c)
+    whole = F.col("g") == 3
+    return sums.groupBy(*keys).agg(F.max(F.when(whole, F.col("n"))).alias("count"), F.min(F.when(whole, F.col("first"))).alias("first"), best("text", 1), best("label", 2))
 
 
 def enrich_page_terms(terms: DataFrame, pages: DataFrame, keyword: str, by: Sequence[str] = ("page_id",)) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import written
 
 GREEN, WHITE_OF_REST, WHITE_BOTTOM = 0.35, 0.1, 0.10
 TIER_RANK = {"green": 0, "orange": 1, "white": 2}
@@ -28,6 +29,26 @@ def top_n(df: DataFrame, by: Sequence, order: Sequence, n) -> DataFrame:
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__rank") <= n).drop("__rank")
 
 
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "rank") -> DataFrame:
+    """Column name: the place of each row in its group, from 1, for groups that may be too large for one task.
+
+    Rows are dealt by ranges of (by, order) and sorted there, so a group, or a
+    table without groups, is spread over tasks; a row's place is its place in
+    the task and the number of the group's rows in tasks before, of which
+    there is one figure a task and group. The dealt rows are written once.
+    """
+    by = list(by)
+    dealt = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, *order).sortWithinPartitions(*by, *order)
+    rows = written(dealt.withColumns({"__task": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+    sizes = rows.groupBy(*by, "__task").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = sizes.select(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(by)), F.col("__task").alias("__of"), "__first", before.alias("__before"))
+    same = F.col("__task") == F.col("__of")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    return rows.join(own, same).withColumn(name, (F.col("__before") + F.col("__at") - F.col("__first") + 1).cast("int")).select(*df.columns, name)
+
+
 def keep_ratio(terms: DataFrame, ratio: float, by: Sequence[str], score: Column, order: Sequence) -> DataFrame:
     """The best terms of each page: at least one, and the ratio of all, rounded up. A ratio of 0 keeps all."""
     ratio = min(1.0, max(0.0, ratio or 1.0))
@@ -38,10 +59,17 @@ def keep_ratio(terms: DataFrame, ratio: float, by: Sequence[str], score: Column,
     return ranked.where(F.col("__rank") <= F.greatest(F.lit(1), F.ceil(F.col("__n") * ratio))).drop("__rank", "__n")
 
 
-def percentile_tiers(terms: DataFrame, by: Sequence[str], order: Sequence) -> DataFrame:
-    """Column tier: green for the first 35 %, white for the first tenth of the rest, at least one each, orange for what is left."""
-    group = Window.partitionBy(*by)
-    out = terms.withColumn("__rank", F.row_number().over(group.orderBy(*order))).withColumn("__n", F.count("*").over(group))
+def percentile_tiers(terms: DataFrame, by: Sequence[str], order: Sequence, large: bool = False) -> DataFrame:
+    """Column tier: green for the first 35 %, white for the first tenth of the rest, at least one each, orange for what is left.
+
+    large: groups may be too large for one task; they are ranked by ranked() and counted apart.
+    """
+    if large:
+        out = ranked(terms, by, order, "__rank")
+        out = out.join(out.groupBy(*by).agg(F.count("*").alias("__n")), list(by))
+    else:
+        group = Window.partitionBy(*by)
+        out = terms.withColumn("__rank", F.row_number().over(group.orderBy(*order))).withColumn("__n", F.count("*").over(group))
     green = F.greatest(F.lit(1), F.floor(F.col("__n") * GREEN))
     white = F.greatest(F.lit(1), F.floor((F.col("__n") - green) * WHITE_OF_REST))
     tier = F.when(F.col("__rank") <= green, "green").when(F.col("__rank") <= green + white, "white").otherwise("orange")
@@ -74,9 +102,10 @@ def slot_share(slots: Column, anchors: Column, index: Column) -> Column:
     return F.when((anchors > 0) & (slots > 0), base + F.when(index < slots - base * anchors, 1).otherwise(0)).otherwise(0).cast("long")
 
 
-def numeric_cap(terms: DataFrame, by: Sequence[str], order: Sequence, text: str = "text", most: int = 2, exempt: Iterable[str] = ()) -> DataFrame:
-    """Without the terms with digits after the first `most` of each group; exempt anchors stay and don't count."""
-    counted = (T.is_numeric(text) & ~T.is_exempt(text, exempt)).cast("int")
+def numeric_cap(terms: DataFrame, by: Sequence[str], order: Sequence, text: str = "text", most: int = 2, exempt: Iterable[str] | Column = ()) -> DataFrame:
+    """Without the terms with digits after the first `most` of each group; exempt anchors (texts, or a condition) stay and don't count."""
+    free = exempt if isinstance(exempt, Column) else T.is_exempt(text, exempt)
+    counted = (T.is_numeric(text) & ~free).cast("int")
     running = F.sum(counted).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return terms.withColumn("__c", counted).withColumn("__n", running).where((F.col("__c") == 0) | (F.col("__n") <= most)).drop("__c", "__n")
 

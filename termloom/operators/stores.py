@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import first_of, top_n
+from .ranking import first_of, ranked, top_n
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence | None = None) -> DataFrame:
@@ -37,6 +37,12 @@ def page(rows: DataFrame, order: Sequence, limit: int, offset: int = 0) -> DataF
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def keyword_outputs(rows: DataFrame, wanted: Column | None = None, order: Sequence = ()) -> DataFrame:
+    """A list of stored outputs in order, all or those that are wanted."""
+    rows = rows if wanted is None else rows.where(wanted)
+    return rows.orderBy(*order) if order else rows
+
+
 def history(revisions: DataFrame, users: DataFrame, key: str, order: Sequence, limit: int = 100) -> DataFrame:
     """Revisions with their users, if known, the newest first."""
     return revisions.join(users, key, "left").orderBy(*order).limit(limit)
@@ -69,8 +75,8 @@ def needs_refresh(method: str = "tiering_method", rank: str = "instance_rank", i
 
 
 def numbered(rows: DataFrame, order: Sequence, start: int = 0, name: str = "sr_no") -> DataFrame:
-    """Rows of one batch to be appended, numbered on from start. A batch is one request's rows."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) + start)
+    """Rows to be appended, numbered on from start; they are ranked over all tasks."""
+    return ranked(rows, [], order, name).withColumn(name, F.col(name) + start)
 
 
 def timing_summary(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -123,12 +123,13 @@ def spherical_kmeans(x: np.ndarray, centres: np.ndarray, pinned: Sequence[int] =
     return labels, centres
 
 
-def title_clusters(terms: DataFrame, by: Sequence[str] = ("page_id",), order: str = "ord", size: int = 5, seed: int = 123) -> DataFrame:
-    """(by, order, cluster, sim_to_cluster_1, sim_to_title): relevant terms are cluster 1; the others are clustered, about size in each, by nearness to it.
+def title_clusters(terms: DataFrame, by: Sequence[str] = ("page_id",), order: str = "ord", size: int = 5, seed: int = 123, carry: Sequence[str] = ()) -> DataFrame:
+    """(by, order, carry, cluster, sim_to_cluster_1, sim_to_title): relevant terms are cluster 1; the others are clustered, about size in each, by nearness to it.
 
-    terms: by, order, vector, title_vector, relevant (of seed_relevance).
+    terms: by, order, vector, title_vector, relevant (of seed_relevance), and
+    columns to carry along.
     """
-    fields = [f for f in terms.schema if f.name in (*by, order)]
+    fields = [terms.schema[c] for c in (*by, order, *carry)]
     schema = T.StructType([*fields, T.StructField("cluster", T.IntegerType()), T.StructField("sim_to_cluster_1", T.DoubleType()), T.StructField("sim_to_title", T.DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -146,9 +147,9 @@ def title_clusters(terms: DataFrame, by: Sequence[str] = ("page_id",), order: st
             for place, c in enumerate(ranked, 2):
                 own = rest[labels == c]
                 cluster[own], to_main[own], to_title[own] = place, float(main @ means[c]), float(title @ means[c])
-        return pdf[[*by, order]].assign(cluster=cluster, sim_to_cluster_1=to_main, sim_to_title=to_title)
+        return pdf[[*by, order, *carry]].assign(cluster=cluster, sim_to_cluster_1=to_main, sim_to_title=to_title)
 
-    return terms.select(*by, order, "vector", "title_vector", "relevant").groupBy(*by).applyInPandas(run, schema)
+    return terms.select(*by, order, *carry, "vector", "title_vector", "relevant").groupBy(*by).applyInPandas(run, schema)
 
 
 def top_up(terms: DataFrame, by: Sequence[str], order: Sequence, least: int = 40, most: int = 50) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import grouping as G
 from ..operators import merge as M
 from ..operators import ranking as R
+from ..scratch import written
 from .inputs import PARTS, TERMS, document_terms, part_terms, singular_sql, table
 
 RATIO = 0.8
@@ -50,7 +51,7 @@ def merge_entities(spark, d):
 
 def word_range(spark, d):
     pages = M.page_statistics(table(spark, d, "documents").select(F.col("lang").alias("session_id"), X.word_count("text").alias("words")), ["session_id"], ["words"])
-    rows = merged(spark, d).join(F.broadcast(pages), "session_id")  # a row for each language
+    rows = written(merged(spark, d)).join(pages, "session_id")
     return M.word_range(rows, "avg_words", ["session_id"]).select("session_id", "key", "word_range")
 
 
@@ -95,12 +96,12 @@ def embedding_map(spark, d):
 def tiers_percentile(spark, d):
     """The flagship: merged terms of a session, their tier and how often each is to be used."""
     rows = word_range_rows(spark, d)
-    return R.percentile_tiers(rows, ["session_id"], [F.desc("average_weightage"), "key"]).select("session_id", "key", "tier", "competitor_count", "word_range")
+    return R.percentile_tiers(rows, ["session_id"], [F.desc("average_weightage"), "key"], large=True).select("session_id", "key", "tier", "competitor_count", "word_range")
 
 
 def word_range_rows(spark, d):
     pages = M.page_statistics(table(spark, d, "documents").select(F.col("lang").alias("session_id"), X.word_count("text").alias("words")), ["session_id"], ["words"])
-    return M.word_range(merged(spark, d).join(F.broadcast(pages), "session_id"), "avg_words", ["session_id"])
+    return M.word_range(written(merged(spark, d)).join(pages, "session_id"), "avg_words", ["session_id"])
 
 
 _RANGE = f"""

@@ -171,7 +171,8 @@ def html_parse(spark, d):
 
 
 def html_probe(spark, d):
-    return table(spark, d, "pages").select("page_id", *(c.alias(n) for n, c in H.page_probe().items()))
+    p = table(spark, d, "pages").select("page_id", "url", *(c.alias(n) for n, c in H.page_probe().items()))
+    return p.withColumn("reason", H.block_reason("url", F.col("page_id") % 3)).drop("url")
 
 
 def chunk_windows(spark, d):
@@ -248,8 +249,12 @@ QUERIES = {
     "html_parse": (html_parse, None),
     "html_probe": (
         html_probe,
-        f"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS page_title, regexp_matches(lower(html), 'id=["'']?(search|rso)["''\\s>]') AS has_search_root,
-        list_bool_or(list_transform([{", ".join(f"'{x}'" for x in H.BLOCK_PHRASES)}], lambda x: contains(lower(html), x))) AS is_blocked FROM pages""",
+        """WITH p AS (SELECT page_id, lower(left(coalesce(html, ''), 8000)) AS low, url FROM pages), t AS (SELECT *, CASE WHEN contains(low, '<title') THEN substr(low, strpos(low, '<title')) END AS tag FROM p),
+        i AS (SELECT *, CASE WHEN contains(tag, '>') THEN substr(tag, strpos(tag, '>') + 1) END AS inner_ FROM t),
+        r AS (SELECT page_id, url, CASE WHEN contains(inner_, '</title') THEN left(left(inner_, strpos(inner_, '</title') - 1), 200) ELSE '' END AS page_title,
+          contains(low, 'id="search"') OR contains(low, 'id=' || chr(39) || 'search' || chr(39)) OR contains(low, 'id="rso"') OR contains(low, 'id="main"') AS has_search_root,
+          contains(low, 'unusual traffic') OR contains(low, 'not a robot') OR contains(low, 'before you continue') OR contains(low, 'verify you are human') OR contains(low, 'captcha') AS is_blocked FROM i)
+        SELECT page_id, page_title, has_search_root, is_blocked, CASE WHEN contains(url, '/sorry/') THEN 'sorry' WHEN is_blocked THEN 'block_text' WHEN page_id % 3 = 0 AND NOT has_search_root THEN 'empty' END AS reason FROM r""",
     ),
     "chunk_windows": (chunk_windows, None),
     "page_pipeline": (page_pipeline, None),

@@ -46,7 +46,7 @@ def left_join_distinct(spark, d):
 
 def keyword_outputs(spark, d):
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return s.where("n_name LIKE 'NATION_1%'").select("s_suppkey", "s_name", "n_name").orderBy(F.desc("n_name"), "s_name")
+    return O.keyword_outputs(s.select("s_suppkey", "s_name", "n_name"), F.col("n_name").like("NATION_1%"), [F.desc("n_name"), "s_name"])
 
 
 def needs_refresh(spark, d):
@@ -65,8 +65,8 @@ def rate_summary(spark, d):
 
 
 def timing_rows(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    return O.numbered(s, ["s_acctbal", "s_suppkey"], start=100)
+    e = table(spark, d, "events").select("event_id", "ts")
+    return O.numbered(e, ["ts", "event_id"], start=100)
 
 
 def tier_document(spark, d):
@@ -106,7 +106,7 @@ QUERIES = {
         """WITH e AS (SELECT user_id % 5 AS "user", (event_type = 'view')::INTEGER AS v, value FROM events)
         SELECT "user", count(*) AS n, avg(v)::DOUBLE AS is_view_rate, quantile_cont(value, 0.5) AS median, list_sort(list(value))[greatest(1, floor(count(*) * 0.95))::BIGINT] AS p95 FROM e GROUP BY 1""",
     ),
-    "timing_rows": (timing_rows, "SELECT s_suppkey, s_acctbal, (row_number() OVER (ORDER BY s_acctbal, s_suppkey) + 100)::INTEGER AS sr_no FROM supplier"),
+    "timing_rows": (timing_rows, "SELECT event_id, ts, (row_number() OVER (ORDER BY ts, event_id) + 100)::INTEGER AS sr_no FROM events"),
     "tier_document": (
         tier_document,
         f"""WITH {PARTS}, l AS (SELECT session_id, [x.t FOR x IN list_sort(list(struct_pack(o := ord, t := text, k := tier))) IF x.k = 'green'] AS g, [x.t FOR x IN list_sort(list(struct_pack(o := ord, t := text, k := tier))) IF x.k = 'orange'] AS o,

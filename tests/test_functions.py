@@ -156,3 +156,19 @@ def test_chunks(spark):
 def test_tfidf(spark):
     df = spark.createDataFrame([(3, 100, 9)], "c int, w int, n int")
     assert df.select(X.tfidf("c", "w", "n").alias("t")).first().t == round(0.03 * math.log(10), 4)
+
+
+def test_page_probe(spark):
+    from termloom.functions import html
+
+    pages = {
+        "": ("", False, False), "<TITLE lang=x>Hi There</title>": ("hi there", False, False), "<title>open": ("", False, False), "<title": ("", False, False),
+        "<p id='search'>I'm NOT a Robot": ("", True, True), '<div id="main">': ("", True, False), "<div id=search>": ("", False, False), "access denied, recaptcha": ("", False, True),
+        "access denied": ("", False, False), "x" * 8000 + "captcha": ("", False, False), "<title>" + "t" * 300 + "</title> Before you continue": ("t" * 200, False, True), "<title></title>": ("", False, False),
+    }
+    df = spark.createDataFrame([(h,) for h in pages] + [(None,)], "html string")
+    got = {r.html: (r.page_title, r.has_search_root, r.is_blocked) for r in df.select("html", *(c.alias(n) for n, c in html.page_probe().items())).collect()}
+    assert got == {**pages, None: ("", False, False)}
+    rows = [("http://x/sorry/a", 5, True, False), (None, 1, False, True), ("u", 0, False, False), ("u", 0, True, False), ("u", None, False, False), ("u", 1, False, False)]
+    df = spark.createDataFrame(rows, "url string, n int, has_search_root boolean, is_blocked boolean")
+    assert [r[0] for r in df.select(html.block_reason("url", "n")).collect()] == ["sorry", "block_text", "empty", None, "empty", None]

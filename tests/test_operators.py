@@ -38,6 +38,20 @@ def test_numeric_cap_and_keep_ratio(spark):
     assert ranking.keep_ratio(df, 0.01, ["s"], F.col("ord"), ["text"]).count() == 1
 
 
+def test_ranked_over_tasks(spark):
+    r = random.Random(0)
+    rows = [(r.choice([None, "a", "b", "c"]), r.choice([None, *range(20)]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, x int, i int").repartition(5)
+    key = lambda t: (t[1] is not None, t[1] or 0, t[2])
+    want = {i: n for g in (None, "a", "b", "c") for n, (_, _, i) in enumerate(sorted((t for t in rows if t[0] == g), key=key), 1)}
+    assert {x.i: x["rank"] for x in ranking.ranked(df, ["g"], ["x", "i"]).collect()} == want
+    every = {i: n for n, (_, _, i) in enumerate(sorted(rows, key=lambda t: (t[1] is None, -(t[1] or 0), t[2])), 8)}
+    assert {x.i: x.sr_no for x in stores.numbered(df, [F.desc_nulls_last("x"), "i"], start=7).collect()} == every
+    assert ranking.ranked(df.limit(0), ["g"], ["i"]).collect() == []
+    tiers = lambda large: {x.i: x.tier for x in ranking.percentile_tiers(df.where("g IS NOT NULL"), ["g"], ["x", "i"], large).collect()}
+    assert tiers(True) == tiers(False)
+
+
 def test_label_cap(spark):
     rows = [("g1", "green", 0), ("g2", "green", 1), ("g3", "green", 2), ("o1", "orange", 0), ("o2", "orange", 1), ("w1", "white", 0)]
     df = spark.createDataFrame([(1, t, tier, o, "Dog Breed") for t, tier, o in rows] + [(1, "x", "white", 9, "Food")], "s int, text string, tier string, ord int, label string")
@@ -315,6 +329,19 @@ def test_session_jobs(spark):
     assert {r.tiering_method for r in rows} == {"proportional_instance_v1"}
     assert jobs.tiered_session(entities, anchors, entities, "dogs", method="percentile").count() == 5  # the keep ratio leaves five of six
     document = jobs.session_document(tiered).first().document
+    # sessions without anchors or without vectors fall back, alone
+    three = entities.unionByName(entities.withColumn("session_id", F.lit(2))).unionByName(entities.withColumn("session_id", F.lit(3)))
+    some = anchors.unionByName(anchors.withColumn("session_id", F.lit(3)))
+    mixed = jobs.tiered_session(three, some, three.where("session_id < 3").select("session_id", "key", embed("text").alias("vector")), "dogs", average_words=F.lit(100.0))
+    methods = {(r.session_id, r.tiering_method) for r in mixed.collect()}
+    assert methods == {(1, "proportional_instance_v1"), (2, "percentile"), (3, "percentile")}
+    assert {(r.key, r.tier) for r in mixed.where("session_id = 1").collect()} == {(r.key, r.tier) for r in rows}
+    assert mixed.where("session_id = 3").count() == 5
+    key = entities.agg(F.min("key")).first()[0]
+    long = entities.withColumn("text", F.when(F.col("key") == key, "one very long term").otherwise(F.col("text")))
+    assert jobs.tiered_session(long, anchors, entities, "dogs", method="percentile").count() == 4
+    named = anchors.withColumn("anchor", F.when(F.col("anchor_ord") == 1, "One very long term ").otherwise(F.col("anchor")))
+    assert jobs.tiered_session(long, named, entities, "dogs", method="percentile").count() == 5
     assert '"tiers"' in document
     with pytest.raises(ValueError, match="method"):
         jobs.tiered_session(entities, anchors, entities, "dogs", method="x")
