@@ -16,8 +16,10 @@ from .operators import consensus as C
 from .operators import grouping as G
 from .operators import merge as M
 from .operators import ranking as R
+from .operators import stores as O
 from .operators import vectors as W
 from .scratch import written
+from .sources import files as S
 
 
 def page_terms(pages: DataFrame, keyword: str = "", extractor: Callable = P.StubExtractor, embedder: Callable = P.StubEmbedder, labels: Sequence[str] = G.LABELS, threshold: float = W.DUPLICATE) -> DataFrame:
@@ -93,6 +95,36 @@ def session_document(tiered: DataFrame, by: Sequence[str] = ("session_id",)) ->
     return out.select(*by, F.to_json(F.struct("tiers", "buckets", "labels")).alias("document"))
 
 
+def merge_response(tiered: DataFrame, selections: DataFrame, cache: DataFrame | None = None, by: Sequence[str] = ("session_id",)) -> DataFrame:
+    """(by, selection_key, document, from_cache): the document of each session's selection, of the cache where that has it.
+
+    selections: by, urls; cache: selection_key, document, of which one of
+    several equal keys counts. Only sessions that the cache lacks are worked out.
+    """
+    by = list(by)
+    keyed = selections.select(*by, O.selection_key("urls").alias("selection_key"))
+    if cache is None:
+        return keyed.join(session_document(tiered, by), by).select(*by, "selection_key", "document", F.lit(False).alias("from_cache"))
+    known = cache.groupBy("selection_key").agg(F.min("document").alias("document"))
+    found = keyed.join(known, "selection_key").select(*by, "selection_key", "document", F.lit(True).alias("from_cache"))
+    new = keyed.join(known, "selection_key", "left_anti")
+    made = session_document(tiered.join(new.select(*by), by, "left_semi"), by)
+    return found.unionByName(new.join(made, by).select(*by, "selection_key", "document", F.lit(False).alias("from_cache")))
+
+
+def offline_run(steps: dict[str, DataFrame], folder: str, by: Sequence[str] = ("session_id",)) -> DataFrame:
+    """(by, step, n): writes each step's table below folder, in order, and gives the batch's summary from what was written."""
+    parts = []
+    for name, step in steps.items():
+        S.write_artifact(step, folder, name)
+        stored = step.sparkSession.read.schema(step.schema).json(f"{folder}/{name}")
+        parts.append(stored.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.lit(name).alias("step"), "n"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def organic_pages(results: DataFrame, limit: int, by: Sequence[str] = ("session_id",), order: str = "pos") -> DataFrame:
     """The first limit results of a search that are pages of their own, each normalised URL once."""
     rows = R.top_n(results.where(U.is_organic("url")), by, [order], limit).withColumn("url", U.normalized("url"))

@@ -1,8 +1,8 @@
 """Named queries over the test tables, with their SQL where SQL can say the same."""
 
-from . import merging, scalars, searching, storing
+from . import merging, scalars, searching, storage, storing
 
-_ALL = {**scalars.QUERIES, **merging.QUERIES, **searching.QUERIES, **storing.QUERIES}
+_ALL = {**scalars.QUERIES, **merging.QUERIES, **searching.QUERIES, **storing.QUERIES, **storage.QUERIES}
 
 
 def queries() -> dict:

@@ -12,7 +12,7 @@ from ..operators import consensus as C
 from ..operators import fuzzy as Z
 from ..operators import merge as M
 from ..operators import vectors as W
-from .inputs import PAGE, SIMS, TIERED, part_terms, table, vector_anchors, vector_terms
+from .inputs import PAGE, PARTS, SIMS, TIERED, part_terms, table, vector_anchors, vector_terms
 
 
 def _sims(spark, d):
@@ -102,7 +102,7 @@ def anchored_tiers(spark, d):
 
 def validate_anchors(spark, d):
     t = vector_terms(spark, d).withColumn("is_entity", F.col("ord") % 3 == 1)
-    return W.validate_anchors(t, duplicate=0.9, least=0.2)
+    return W.validate_anchors(t, duplicate=0.9, least=0.2).withColumn("sim", F.round("sim", 3))
 
 
 def _entities(spark, d):
@@ -187,6 +187,84 @@ def page_pipeline(spark, d):
     return page_terms(table(spark, d, "pages"), keyword="the").select("page_id", "text", "label", "count", "relevance", "cluster")
 
 
+# Longest common subsequences: a row of the table for each character of y, of the pairs (x, y) of a relation `forms`.
+LCS = """
+lcs(x, y, k, r) AS (SELECT x, y, 0, list_transform(range(length(x)), lambda j: 0) FROM forms UNION ALL
+  SELECT x, y, k + 1, list_transform(range(1, length(x) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN x[i] = y[k + 1] THEN CASE WHEN i = 1 THEN 0 ELSE r[i - 1] END + 1 ELSE r[i] END)))
+  FROM lcs WHERE k < length(y)),
+alike AS (SELECT x, y, CASE WHEN length(x) + length(y) = 0 THEN 100.0 ELSE 200.0 * coalesce(list_max(r), 0) / (length(x) + length(y)) END AS s FROM lcs WHERE k = length(y))
+"""
+_SORTED = "array_to_string(list_sort(list_filter(string_split_regex({}, '\\s+'), lambda w: w <> '')), ' ')"
+_FORM = _SORTED.format("regexp_replace(lower(trim({})), '[-_]+', ' ', 'g')")
+FUZZY_PAIRS = f"""
+WITH RECURSIVE {PARTS}, d AS (SELECT session_id, text, min(ord) AS ord, max(average_weightage) AS w, max(combined_count) AS c FROM parts GROUP BY 1, 2), n AS (SELECT *, {_FORM.format("text")} AS form FROM d),
+p AS (SELECT a.session_id, a.text AS t1, b.text AS t2, a.form AS x, b.form AS y, (a.w, a.c, -a.ord) >= (b.w, b.c, -b.ord) AS first FROM n a JOIN n b ON a.session_id = b.session_id AND a.ord < b.ord),
+forms AS (SELECT DISTINCT x, y FROM p), {LCS}
+SELECT session_id, round(s, 1) AS similarity_percent, CASE WHEN first THEN t1 ELSE t2 END AS keep, CASE WHEN first THEN t2 ELSE t1 END AS remove FROM p JOIN alike USING (x, y) WHERE s >= 75
+"""
+FUZZY_TIERS = f"""
+WITH RECURSIVE {PARTS}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id, tier ORDER BY length(text) DESC, average_weightage DESC, ord)::INTEGER AS i, {_SORTED.format("text")} AS x FROM parts),
+pairs AS (SELECT a.session_id, a.tier, a.i, b.i AS k, a.x, b.x AS y, lower(a.text) = 'hot gear' AS own FROM n a JOIN n b ON a.session_id = b.session_id AND a.tier = b.tier AND b.i < a.i),
+forms AS (SELECT DISTINCT x, y FROM pairs), {LCS},
+near AS (SELECT session_id, tier, i, list(k) AS near FROM pairs JOIN alike USING (x, y) WHERE s >= 75 AND NOT own GROUP BY ALL), item AS (SELECT n.*, coalesce(near, []) AS near FROM n LEFT JOIN near USING (session_id, tier, i)),
+walk(session_id, tier, i, kept) AS (SELECT session_id, tier, 1, [1] FROM item WHERE i = 1 UNION ALL
+  SELECT w.session_id, w.tier, item.i, CASE WHEN list_has_any(w.kept, item.near) THEN w.kept ELSE list_append(w.kept, item.i) END FROM walk w JOIN item ON w.session_id = item.session_id AND w.tier = item.tier AND item.i = w.i + 1),
+last AS (SELECT session_id, tier, arg_max(kept, i) AS kept FROM walk GROUP BY 1, 2)
+SELECT n.session_id, n.tier, ord, text, average_weightage AS rank_score FROM n JOIN last ON n.session_id = last.session_id AND n.tier = last.tier AND list_contains(kept, i)
+"""
+FUZZY_DOMAINS = f"""
+WITH RECURSIVE {PARTS}, t AS (SELECT DISTINCT session_id, text FROM parts), d AS (SELECT DISTINCT session_id, replace(text, ' ', '') || '.com' AS domain FROM parts),
+p AS (SELECT session_id, text, domain, {_SORTED.format("text")} AS x, domain AS y FROM t JOIN d USING (session_id)), forms AS (SELECT DISTINCT x, y FROM p), {LCS}
+SELECT session_id, text, first(domain ORDER BY s DESC, domain) AS domain, round(max(s), 1) AS similarity FROM p JOIN alike USING (x, y) WHERE s >= 60 GROUP BY 1, 2
+"""
+CHUNKS = r"""
+WITH RECURSIVE t AS (SELECT doc_id, left(text, 18000) AS s FROM documents), w(doc_id, s, b) AS (SELECT doc_id, s, 0 FROM t WHERE length(s) > 0 UNION ALL
+  SELECT doc_id, s, n FROM (SELECT doc_id, s, b + 400 + CASE WHEN b + 400 < length(s) AND substr(s, b + 401, 1) NOT IN (' ', chr(10), chr(9)) THEN strpos(substr(s, b + 401, 80), ' ') ELSE 0 END AS n FROM w) WHERE n < length(s)),
+e AS (SELECT doc_id, s, b, CASE WHEN b + 600 >= length(s) THEN length(s) WHEN contains(substr(s, b + 2, 600), ' ') THEN b + 2 + length(substr(s, b + 2, 600)) - strpos(reverse(substr(s, b + 2, 600)), ' ') ELSE b + 600 END AS e FROM w),
+c AS (SELECT doc_id, b, e, substr(s, b + 1, e - b) AS c FROM e)
+SELECT doc_id, b::INTEGER AS "begin", e::INTEGER AS "end", sha256(c) AS chunk FROM c WHERE regexp_matches(c, '\S')
+"""
+_NEAR = f"""
+v AS (SELECT vec_id // {PAGE} AS g, (vec_id % {PAGE})::INTEGER AS i, vec_id * 7 % 13 + 1 AS n, embedding::DOUBLE[] AS e FROM embeddings),
+sims AS (SELECT a.g, a.i, b.i AS j, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS s FROM v a JOIN v b ON a.g = b.g AND a.i < b.i),
+near AS (SELECT g, i, list(j ORDER BY j) AS near FROM sims WHERE s > 0.3 GROUP BY 1, 2), item AS (SELECT v.g, v.i, n, coalesce(near, []) AS near FROM v LEFT JOIN near USING (g, i)),
+whole AS (SELECT g, list(n ORDER BY i) AS ns, list(near ORDER BY i) AS nears, list(i ORDER BY i) AS every FROM item GROUP BY g)
+"""
+
+
+def _greedy(one_each: bool, rounds: int) -> str:
+    """A step for each place of each round; what a round has removed leaves at its end, and rounds end with one that nobody won."""
+    later = "list_filter(nears[alive[pos] + 1], lambda j: list_contains(alive, j) AND NOT list_contains(gone, j))"
+    if one_each:
+        lost = "CASE WHEN len(l) = 0 THEN [] WHEN ns[alive[pos] + 1] < ns[l[1] + 1] THEN [alive[pos]] ELSE [l[1]] END"
+        wins = "len(l) > 0 AND ns[alive[pos] + 1] >= ns[l[1] + 1]"
+    else:
+        stop = "list_position(list_transform(l, lambda j: ns[j + 1] > ns[alive[pos] + 1]), true)"
+        lost = f"CASE WHEN {stop} IS NULL OR {stop} = 0 THEN l ELSE list_concat(l[1:{stop} - 1], [alive[pos]]) END"
+        wins = "len(l) > 0"
+    return f"""
+WITH RECURSIVE {_NEAR},
+walk(g, ns, nears, alive, gone, pos, round, won) AS (SELECT g, ns, nears, every, [-1], 1, 1, false FROM whole UNION ALL
+  SELECT g, ns, nears, CASE WHEN pos > len(alive) THEN list_filter(alive, lambda i: NOT list_contains(gone, i)) ELSE alive END,
+    CASE WHEN pos > len(alive) THEN [-1] WHEN list_contains(gone, alive[pos]) THEN gone ELSE list_concat(gone, {lost}) END,
+    CASE WHEN pos > len(alive) THEN 1 ELSE pos + 1 END, CASE WHEN pos > len(alive) THEN round + 1 ELSE round END,
+    CASE WHEN pos > len(alive) THEN false ELSE won OR (NOT list_contains(gone, alive[pos]) AND {wins}) END
+  FROM (SELECT *, CASE WHEN pos <= len(alive) THEN {later} END AS l FROM walk) WHERE pos <= len(alive) OR (won AND round < {rounds})),
+last AS (SELECT g, list_filter(alive, lambda i: NOT list_contains(gone, i)) AS alive FROM walk WHERE pos > len(alive) AND (NOT won OR round = {rounds}))
+SELECT v.g AS session_id, v.i AS ord, 'term ' || (v.g * {PAGE} + v.i) AS text, n AS count FROM v JOIN last ON v.g = last.g AND list_contains(alive, v.i)
+"""
+
+
+VALIDATED = f"""
+WITH RECURSIVE v AS (SELECT vec_id // {PAGE} AS session_id, (vec_id % {PAGE})::INTEGER AS ord, embedding::DOUBLE[] AS e FROM embeddings),
+sims AS (SELECT a.session_id, a.ord, b.ord AS j, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS s FROM v a JOIN v b ON a.session_id = b.session_id AND b.ord <= a.ord),
+near AS (SELECT session_id, ord, coalesce(list(j) FILTER (s >= 0.9 AND j < ord), []) AS near, max(s) FILTER (j = 0) AS sim FROM sims GROUP BY 1, 2),
+walk(session_id, ord, accepted, status, role, sim) AS (SELECT session_id, 0, [0], 'accepted', 'original', sim FROM near WHERE ord = 0 UNION ALL
+  SELECT session_id, ord, CASE WHEN status = 'accepted' THEN list_append(accepted, ord) ELSE accepted END, status, CASE WHEN status = 'accepted' THEN CASE WHEN ord % 3 = 1 THEN 'gliner_entity_' ELSE 'variant_' END || len(accepted) END, sim
+  FROM (SELECT n.session_id, n.ord, w.accepted, n.sim, CASE WHEN list_has_any(w.accepted, n.near) THEN 'duplicate' WHEN n.sim < 0.2 AND n.ord % 3 <> 1 THEN 'below_min_sim' ELSE 'accepted' END AS status FROM walk w JOIN near n ON w.session_id = n.session_id AND n.ord = w.ord + 1))
+SELECT session_id, ord, 'term ' || (session_id * {PAGE} + ord) AS text, status, role, round(round(sim, 4), 3) AS sim FROM walk
+"""
+
 QUERIES = {
     "vector_norms": (vector_norms, "SELECT vec_id, round(3 * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS norm, 1.0::DOUBLE AS unit_norm FROM embeddings"),
     "cosine_rank": (cosine_rank, f"WITH {SIMS} SELECT session_id, ord, sim AS biencoder_score, row_number() OVER (PARTITION BY session_id ORDER BY sim DESC, ord)::INTEGER AS rank FROM sims WHERE anchor_ord = 0"),
@@ -218,12 +296,12 @@ QUERIES = {
         anchor_order,
         f"SELECT DISTINCT vec_id // {PAGE} AS session_id, unnest(['anchor 2', 'anchor 1']) AS anchor, unnest([1, 2])::INTEGER AS instance_index FROM embeddings WHERE vec_id % {PAGE} = 2",
     ),
-    "greedy_dedup": (greedy_dedup, None),
-    "greedy_dedup_legacy": (greedy_dedup_legacy, None),
+    "greedy_dedup": (greedy_dedup, _greedy(True, 50)),
+    "greedy_dedup_legacy": (greedy_dedup_legacy, _greedy(False, 1000)),
     "title_clusters": (title_clusters, None),
     "top_up": (top_up, None),
     "anchored_tiers": (anchored_tiers, None),
-    "validate_anchors": (validate_anchors, None),
+    "validate_anchors": (validate_anchors, VALIDATED),
     "slot_fill": (slot_fill, None),
     "slot_fill_consensus": (slot_fill_consensus, None),
     "tier_eval": (
@@ -243,9 +321,9 @@ QUERIES = {
         first(text ORDER BY sim DESC, ({PAGE} * session_id + ord) * 7 % 13 DESC, text) AS nearest FROM tiered GROUP BY session_id, anchor_ord, anchor""",
     ),
     "missing_vectors": (missing_vectors, "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL)"),
-    "fuzzy_pairs": (fuzzy_pairs, None),
-    "fuzzy_tier_dedup": (fuzzy_tier_dedup, None),
-    "fuzzy_domains": (fuzzy_domains, None),
+    "fuzzy_pairs": (fuzzy_pairs, FUZZY_PAIRS),
+    "fuzzy_tier_dedup": (fuzzy_tier_dedup, FUZZY_TIERS),
+    "fuzzy_domains": (fuzzy_domains, FUZZY_DOMAINS),
     "html_parse": (html_parse, None),
     "html_probe": (
         html_probe,
@@ -256,6 +334,6 @@ QUERIES = {
           contains(low, 'unusual traffic') OR contains(low, 'not a robot') OR contains(low, 'before you continue') OR contains(low, 'verify you are human') OR contains(low, 'captcha') AS is_blocked FROM i)
         SELECT page_id, page_title, has_search_root, is_blocked, CASE WHEN contains(url, '/sorry/') THEN 'sorry' WHEN is_blocked THEN 'block_text' WHEN page_id % 3 = 0 AND NOT has_search_root THEN 'empty' END AS reason FROM r""",
     ),
-    "chunk_windows": (chunk_windows, None),
+    "chunk_windows": (chunk_windows, CHUNKS),
     "page_pipeline": (page_pipeline, None),
 }

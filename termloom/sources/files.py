@@ -134,7 +134,14 @@ def append_timings(rows: DataFrame, path: str) -> None:
 
 
 def write_report(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").csv(path, header=True)
+    rows.write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def write_results(rows: DataFrame, summary: DataFrame, path: str) -> None:
+    """Results as JSON lines, and lines of their summary, each in an object of that name."""
+    lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+    last = summary.select(F.to_json(F.struct(F.struct(*summary.columns).alias("summary"))).alias("value"))
+    lines.unionByName(last).write.mode("overwrite").text(path)
 
 
 def write_cache(vectors: DataFrame, path: str) -> None:
