@@ -159,6 +159,11 @@ def gate(content: Column | str, title: Column | str) -> tuple[Column, Column]:
     return skip, most
 
 
+def is_english(lang: Column | str) -> Column:
+    """Whether a page counts as English, by the language that its source or a detector has found; unknown is not."""
+    return F.coalesce(F.lower(_col(lang)).rlike(r"^en([-_]|$)"), F.lit(False))
+
+
 def truncated(text: Column | str, most: int = TEXT_CHARS) -> Column:
     return F.substring(_col(text), 1, most)
 

@@ -37,6 +37,11 @@ def page(rows: DataFrame, order: Sequence, limit: int, offset: int = 0) -> DataF
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def undescribed(titles: DataFrame, described: DataFrame, key: str = "title", text: str = "description") -> DataFrame:
+    """Titles that have no description yet: what is left of a batch that is taken up again. Blank descriptions don't count."""
+    return titles.join(described.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select(key).distinct(), key, "left_anti")
+
+
 def keyword_outputs(rows: DataFrame, wanted: Column | None = None, order: Sequence = ()) -> DataFrame:
     """A list of stored outputs in order, all or those that are wanted."""
     rows = rows if wanted is None else rows.where(wanted)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import answers as A
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators import stores as O
@@ -52,6 +53,29 @@ def domain_tokens_ban(spark, d):
     return t.groupBy("session_id").agg(F.count("*").alias("n_terms")).join(kept.groupBy("session_id").agg(F.count("*").alias("n_kept")), "session_id", "left")
 
 
+def answer_json(spark, d):
+    """Answers about suppliers: a final part with an object, one in a fence, an object in prose, none."""
+    s, n = table(spark, d, "supplier"), F.col("s_suppkey") % 4
+    told = F.concat(F.lit('{"descriptions": ["'), F.col("s_name"), F.lit('"]}'))
+    text = (
+        F.when(n == 0, F.concat(F.lit('thinking {"a": 1} assistantfinal so: '), told, F.lit(' and {"b": {}} done')))
+        .when(n == 1, F.concat(F.lit("here\n```json\n"), told, F.lit("\n```\nbye")))
+        .when(n == 2, F.concat(F.lit('first {"x": 2}, then {"y": '), F.col("s_suppkey"), F.lit("}.")))
+        .otherwise(F.lit("no {object here"))
+    )
+    return s.select("s_suppkey", A.answer_json(text).alias("answer"))
+
+
+def undescribed(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("title"), "o_orderstatus")
+    done = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("title"), F.when(F.col("l_linenumber") > 3, " x").otherwise(" ").alias("description"))
+    return O.undescribed(o, done)
+
+
+def english_documents(spark, d):
+    return table(spark, d, "documents").where(X.is_english("lang")).select("doc_id")
+
+
 def token_tf(spark, d):
     return document_terms(spark, d).select("page_id", "text", "count")
 
@@ -141,6 +165,12 @@ def selection_key(spark, d):
 
 
 QUERIES = {
+    "answer_json": (
+        answer_json,
+        """SELECT s_suppkey, CASE WHEN s_suppkey % 4 < 2 THEN '{"descriptions": ["' || s_name || '"]}' WHEN s_suppkey % 4 = 2 THEN '{"y": ' || s_suppkey || '}' END AS answer FROM supplier""",
+    ),
+    "undescribed": (undescribed, "SELECT o_orderkey AS title, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 3)"),
+    "english_documents": (english_documents, "SELECT doc_id FROM documents WHERE lang = 'en'"),
     "url_normalize": (url_normalize, f"SELECT page_id, {_NORMAL} AS normalized FROM pages"),
     "url_dedup_first": (
         url_dedup_first,

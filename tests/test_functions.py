@@ -172,3 +172,15 @@ def test_page_probe(spark):
     rows = [("http://x/sorry/a", 5, True, False), (None, 1, False, True), ("u", 0, False, False), ("u", 0, True, False), ("u", None, False, False), ("u", 1, False, False)]
     df = spark.createDataFrame(rows, "url string, n int, has_search_root boolean, is_blocked boolean")
     assert [r[0] for r in df.select(html.block_reason("url", "n")).collect()] == ["sorry", "block_text", "empty", None, "empty", None]
+
+
+def test_answers():
+    from termloom.functions.answers import answer
+
+    assert answer('{"a": [1]}') == {"a": [1]}
+    assert answer("[1, 2]") == [1, 2]
+    assert answer('x {"descriptions": ["old"]} assistantfinal {"b": 1} y {"c": {"d": 2}}') == {"d": 2}
+    assert answer('{"descriptions": ["a"]} then {"descriptions": []} {"z": 1}') == {"descriptions": ["a"]}
+    assert answer('```\n{"a": 1}\n``` or ```json\n{"a": 2}\n```') == {"a": 2}
+    assert answer('said "}" {"a": "{"} end') == {"a": "{"}
+    assert answer(None) is answer("") is answer("{open") is None
