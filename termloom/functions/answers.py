@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 # Fixed values, in the order in which they are looked for.
 FINAL_MARKS = ("<|start|>assistant<|channel|>final<|message|>", "<|start|>assistant<|channel|>final", "<|end|><|start|>assistant<|channel|>final", "assistantfinal")
 _FENCE = re.compile(r"```(?:json)?\s*\n?([^`]+)```")
-_DECODER = json.JSONDecoder()
 
 
 def answer(text: str | None):
@@ -25,10 +24,10 @@ def answer(text: str | None):
         return json.loads(part)
     except ValueError:
         pass
-    found = []
+    found, decoder = [], json.JSONDecoder()
     for at in (m.start() for m in re.finditer("{", part)):
         try:
-            found.append(_DECODER.raw_decode(part, at)[0])
+            found.append(decoder.raw_decode(part, at)[0])
         except ValueError:
             continue
     told = [x for x in found if isinstance(x.get("descriptions"), list) and x["descriptions"]]
