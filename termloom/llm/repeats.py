@@ -23,7 +23,7 @@ HOT = 20_000
 #: An anchor is frequent that starts more runs than this, and than this share of all; so there are 100,000 of these at most. Their rows are dealt to SALTS tasks.
 FREQUENT_RUNS, FREQUENT_SHARE, SALTS = 10_000, 1e-5, 64
 #: Words of a passage that is reported beside the bytes, and of its first digit; different words that a task keeps at hand.
-PASSAGE, PASSAGE_FIRST, CACHE = 51, 16, 500_000
+PASSAGE, PASSAGE_FIRST, CACHE = 51, 10, 500_000
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -270,26 +270,65 @@ def _passage_anchors(window: int, first: int):
 
 
 def _passage_windows(window: int):
-    """Of rows (k1, k2, t, lo, n) the 128-bit hashes of each run's windows, under a hash of them all."""
+    """Of rows (k1, k2, t, h, lo, n) the hashes of each run's windows, under a hash of them all.
+
+    Equal windows have equal anchors, so anchor and hash, of 64 bits each, tell windows apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_intdigest
+        from xxhash import xxh3_64_intdigest
 
-        hashes, low = WordHashes(), (1 << 64) - 1
+        hashes = WordHashes()
         for batch in batches:
-            for k1, k2, text, lo, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                words = hashes(text.as_py())
-                w1, w2 = gram_hashes(words, window, None), gram_hashes(words * _TWO + _ONE, window, None)
-                own = [(w1[a : a + b], w2[a : a + b]) for a, b in zip(lo, n, strict=True)]
-                c = [xxh3_128_intdigest(x.tobytes() + y.tobytes()) for x, y in own]
-                c1, c2 = np.array([x >> 64 for x in c], np.uint64).view(np.int64), np.array([x & low for x in c], np.uint64).view(np.int64)
-                ends = np.cumsum([0, *n]).astype(np.int32)
-                listed = lambda j, own=own, ends=ends: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[j] for x in own]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(np.full(len(lo), k1)), pa.array(np.full(len(lo), k2)), pa.array(lo, pa.int32()), listed(0), listed(1)], ["c1", "c2", "k1", "k2", "lo", "w1", "w2"])
+            for k1, k2, text, h, lo, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), *(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+                w = gram_hashes(hashes(text.as_py()), window, None)
+                own = [w[a : a + b] for a, b in zip(lo, n, strict=True)]
+                c = np.array([xxh3_64_intdigest(x.tobytes()) for x in own], np.uint64).view(np.int64)
+                listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(np.concatenate(own).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c), pa.array(np.full(len(lo), k1)), pa.array(np.full(len(lo), k2)), pa.array(lo, pa.int32()), listed], ["h", "c", "k1", "k2", "lo", "w"])
 
     return run
 
 
+def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, c, a, b, w) come sorted by h: gives (h, c, at), the places in w of windows that runs of other texts have too.
+
+    a and b: the smallest and the largest text that has the run.
+    """
+    held: list[pa.RecordBatch] = []
+    count = 0
+
+    def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, c, a, b = (t.column(i).to_numpy() for i in range(4))
+        w = t.column(4).combine_chunks()
+        n = w.value_lengths().to_numpy()
+        own, flat = np.repeat(np.arange(len(h)), n), w.flatten().to_numpy()
+        order = np.lexsort((flat, h[own]))
+        new = np.flatnonzero(np.concatenate([[True], (flat[order][1:] != flat[order][:-1]) | (h[own][order][1:] != h[own][order][:-1])]))
+        several = np.minimum.reduceat(a[own][order], new) != np.maximum.reduceat(b[own][order], new)
+        hit = np.zeros(len(flat), bool)
+        hit[order] = np.repeat(several, np.diff(np.append(new, len(flat))))
+        at = (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n))[hit].astype(np.int32)
+        size = np.bincount(own[hit], minlength=len(h))
+        some = size > 0
+        yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(c[some]), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[some])]).astype(np.int32)), pa.array(at))], ["h", "c", "at"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+        if count > TOGETHER >> 4:
+            t = pa.Table.from_batches(held)
+            h = t.column(0).to_numpy()
+            cut = int(np.argmax(h == h[-1]))
+            if cut:
+                yield from out(t.slice(0, cut))
+            held = t.slice(cut).combine_chunks().to_batches()
+            count = t.num_rows - cut
+    if count:
+        yield from out(pa.Table.from_batches(held))
+
+
 def _repeated_runs(anchors: DataFrame, another) -> DataFrame:
     """The rows of anchors (h, k1, k2, lo, n) whose anchor starts runs at different values of another.
 
@@ -311,23 +350,30 @@ def _with_runs(unique: DataFrame, found: DataFrame) -> DataFrame:
     return unique.select("k1", "k2", "t").join(by_text, ["k1", "k2"]).select("k1", "k2", "t", F.col("r.h").alias("h"), F.col("r.lo").alias("lo"), F.col("r.n").alias("n"))
 
 
-def passages(unique: DataFrame, window: int = PASSAGE, first: int | None = None) -> DataFrame:
+def passages(unique: DataFrame, window: int = PASSAGE, first: int | None = None, hot: int = HOT) -> DataFrame:
     """(k1, k2, n_words) of texts, distinct, that share a passage of window words with another: how many words stand in such passages.
 
     Words are what white space separates, A-Z lower-cased. Digits are words:
     windows whose anchor stands in one text only leave first; runs whose
-    windows are all equal are taken once; then windows are counted by hash.
+    windows are all equal are taken once; what is left of an anchor is
+    ordered in one task, or counted over all tasks if that is over `hot` runs.
     """
-    text = F.xxhash64("k1", "k2")
+    spark, text = unique.sparkSession, F.xxhash64("k1", "k2")
     some = unique.where(F.octet_length("t") >= 2 * window - 1).select("k1", "k2", "t")
-    found = _repeated_runs(some.mapInArrow(_passage_anchors(window, first or PASSAGE_FIRST), "h long, k1 long, k2 long, lo int, n int"), text)
-    rows = _with_runs(unique, found).select("k1", "k2", "t", "lo", "n").mapInArrow(_passage_windows(window), "c1 long, c2 long, k1 long, k2 long, lo int, w1 array<long>, w2 array<long>")
-    rows = written(rows)
-    spans = rows.groupBy("c1", "c2").agg(F.min(text).alias("a"), F.max(text).alias("b"), F.first("w1").alias("w1"), F.first("w2").alias("w2"))
-    each = written(spans.select("c1", "c2", "a", "b", F.explode(F.transform(F.arrays_zip("w1", "w2"), lambda x, i: F.struct(i.alias("i"), x["w1"].alias("w1"), x["w2"].alias("w2")))).alias("x")).select("c1", "c2", "a", "b", "x.*"))
-    twice = each.groupBy("w1", "w2").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("w1", "w2")
-    hit = each.join(twice, ["w1", "w2"], "left_semi").groupBy("c1", "c2").agg(F.min("i").alias("least"), F.max("i").alias("most"), F.sort_array(F.collect_list("i")).alias("at"))
-    places = rows.select("c1", "c2", "k1", "k2", "lo").join(hit, ["c1", "c2"]).select("k1", "k2", F.transform("at", lambda i: F.col("lo") + i).alias("at"))
+    anchors = written(some.mapInArrow(_passage_anchors(window, first or PASSAGE_FIRST), "h long, k1 long, k2 long, lo int, n int"))
+    rows = _with_runs(unique, _repeated_runs(anchors, text)).select("k1", "k2", "t", "h", "lo", "n")
+    rows = written(rows.mapInArrow(_passage_windows(window), "h long, c long, k1 long, k2 long, lo int, w array<long>"))
+    spans = rows.groupBy("h", "c").agg(F.min(text).alias("a"), F.max(text).alias("b"), F.first("w").alias("w"))
+    crowded = written(rows.select("h", "c").distinct().groupBy("h").count().where(F.col("count") > hot).select("h"))
+    hit = None
+    if not crowded.isEmpty():
+        each = spans.join(crowded, "h", "left_semi").select("h", "c", "a", "b", F.posexplode("w").alias("i", "w"))
+        twice = each.groupBy("h", "w").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("h", "w")
+        hit = each.join(twice, ["h", "w"], "left_semi").groupBy("h", "c").agg(F.collect_list("i").alias("at"))
+        spans = spans.join(crowded, "h", "left_anti")
+    resolved = spans.select("h", "c", "a", "b", "w").repartition(partitions(spark), "h").sortWithinPartitions("h").mapInArrow(_shared_windows, "h long, c long, at array<int>")
+    hit = resolved if hit is None else resolved.unionByName(hit)
+    places = rows.select("h", "c", "k1", "k2", "lo").join(hit, ["h", "c"]).select("k1", "k2", F.transform("at", lambda i: F.col("lo") + i).alias("at"))
     at = F.array_sort(F.flatten(F.collect_list("at")))
     # a window adds the words that the one before it doesn't cover
     new = F.aggregate("at", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-window).alias("last")), lambda acc, i: F.struct((acc["n"] + F.least(F.lit(window), i - acc["last"])).alias("n"), i.alias("last")))
@@ -395,7 +441,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     unique = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # from the catalogue; the files are scratch
 
-    anchors = unique.where(F.octet_length("t") >= window).select("k1", "k2", "t").mapInArrow(_anchors(window, first), "h long, k1 long, k2 long, lo int, n int")
+    anchors = written(unique.where(F.octet_length("t") >= window).select("k1", "k2", "t").mapInArrow(_anchors(window, first), "h long, k1 long, k2 long, lo int, n int"))
     joined = _with_runs(unique, written(_repeated_runs(anchors, F.xxhash64("k1", "k2", "lo"))))
     members = written(joined.mapInArrow(_surroundings(window, False), "h long, c1 long, c2 long, k1 long, k2 long, lo int"))
     spans = joined.mapInArrow(_surroundings(window, True), "h long, c1 long, c2 long, span binary")
@@ -412,7 +458,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     resolved = sorted_.mapInArrow(_resolve(window, digit), "c1 long, c2 long, at array<int>, n array<int>")
     found = resolved if found is None else resolved.unionByName(found)
     cuts = members.join(found, ["c1", "c2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "at", "n")).alias("found"))
-    shared = passages(unique, passage).select("k1", "k2", "n_words") if passage else unique.select("k1", "k2", F.lit(0).cast("long").alias("n_words")).limit(0)
+    shared = passages(unique, passage, hot=hot).select("k1", "k2", "n_words") if passage else unique.select("k1", "k2", F.lit(0).cast("long").alias("n_words")).limit(0)
     done = unique.join(cuts, ["k1", "k2"], "left").join(shared, ["k1", "k2"], "left").select("k1", "k2", "t", "copies", "found", "n_words")
     done = done.mapInArrow(_cut(window, texts, passage), "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept binary, n_passage_words long")
     return keyed.select("id", "k1", "k2").join(done, ["k1", "k2"]).select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept", "n_passage_words")

@@ -165,8 +165,8 @@ def brute_passages(rows, window):
     return [len({k + j for k, g in enumerate(x) if held[g] > 1 for j in range(window)}) for x in grams]
 
 
-@pytest.mark.parametrize("often", [10_000, 1])
-def test_repeated_passages(spark, often, monkeypatch):
+@pytest.mark.parametrize(("often", "hot"), [(10_000, 20_000), (1, 2)])
+def test_repeated_passages(spark, often, hot, monkeypatch):
     monkeypatch.setattr(repeats, "FREQUENT_RUNS", often)
     r = random.Random(often)
     word = lambda: r.choice(["a", "B", "b", "é", "cc", "longer", "\x00"]) + str(r.randint(0, 30))
@@ -178,7 +178,7 @@ def test_repeated_passages(spark, often, monkeypatch):
     rows += [rows[20], rows[21], rows[21].upper() if rows[21].isascii() else rows[21], " ".join(word() for _ in range(4000)) + " " + " ".join(some[4])]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(rows)], "doc_id long, text string, n_words long").repartition(3)
     monkeypatch.setattr(repeats, "PASSAGE_FIRST", 4)
-    out = repeats.remove_repeats(df, window=40, first=8, digit=10, passage=10).collect()
+    out = repeats.remove_repeats(df, window=40, first=8, digit=10, hot=hot, passage=10).collect()
     assert [x.n_passage_words for x in sorted(out, key=lambda x: x.doc_id)] == brute_passages(rows, 10)
     assert 10 < sum(n > 0 for n in brute_passages(rows, 10)) < len(rows)
     assert {x.n_passage_words for x in repeats.remove_repeats(df, window=40, first=8, digit=10).collect()} == {0}
