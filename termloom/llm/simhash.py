@@ -354,16 +354,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     spark = docs.sparkSession
     arrow_limits(spark)
-    rows = written(docs.withColumn("__n", F.monotonically_increasing_id()))
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = rows.select(F.col("__n").alias("n"), F.col(text_col).cast("binary").alias("t"))
-    own = rows.select(F.col(text_col).cast("binary").alias("t"), "__n", F.col(id_col).alias("id")).mapInArrow(jaccard.nodes_of(width, seed), f"n long, id {kind}, node long")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # columns of any name
+    rows = written(docs.select(row, F.monotonically_increasing_id().alias("n")))
+    kind, text = docs.schema[id_col].dataType.simpleString(), F.col(f"row.`{text_col}`").cast("binary").alias("t")
+    own = rows.select(text, "n", F.col(f"row.`{id_col}`").alias("id")).mapInArrow(jaccard.nodes_of(width, seed), f"n long, id {kind}, node long")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n"))
     nodes = written(own.groupBy("node").agg(first.alias("first")))
-    roots = components(jaccard.links(texts, nodes.select("node", F.col("first.n").alias("n")), similarity, width, seed))
+    roots = components(jaccard.links(rows.select("n", text), nodes.select("node", F.col("first.n").alias("n")), similarity, width, seed))
     grouped = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias("__n"))
-    return rows.join(kept, "__n", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias("n"))
+    return rows.join(kept, "n", "left_semi").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -502,5 +502,16 @@ def test_pipeline(spark, tmp_path):
     assert set(seen[2]) <= set(seen[1])
     assert set(range(8)) <= set(seen[2])
     assert item not in seen[3][24]
+    # without documents, with repeated rows and ids, and with columns of other names
+    none = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    for _, f in pipeline.STAGES:
+        assert f(spark, none, str(tmp_path)).collect() == []
+    more = [(i, t, "e", 1) for i, t in [*rows, rows[0], rows[0], (None, docs[4]), (None, None)]]
+    odd = spark.createDataFrame(more, "doc_id long, text string, __n string, `a.b row` int").repartition(3)
+    for _, f in pipeline.STAGES[:-1]:
+        odd = pipeline.written(f(spark, odd, str(tmp_path)))
+        assert odd.columns == ["doc_id", "text", "__n", "a.b row"]
+        assert {(x["__n"], x["a.b row"]) for x in odd.collect()} == {("e", 1)}
+    assert Counter(x.doc_id for x in odd.collect()) == Counter(list(seen[3]))
     out = {x.doc_id: x for x in pipeline.run(spark, str(tmp_path)).collect()}
     assert {i: x.decoded_sha256 for i, x in out.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in seen[3].items()}
