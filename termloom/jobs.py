@@ -131,6 +131,32 @@ def organic_pages(results: DataFrame, limit: int, by: Sequence[str] = ("session_
     return R.first_of(rows, [*by, "url"], [order])
 
 
+def ensured(stored: DataFrame, stale: Column, recompute: Callable[[DataFrame], DataFrame], force: bool = False) -> DataFrame:
+    """stored with its stale rows, or with force all of them, computed anew; column changed tells which. Doing it again changes nothing."""
+    flag = F.lit(True) if force else F.coalesce(stale, F.lit(False))
+    marked = stored.withColumn("changed", flag)
+    again = recompute(marked.where("changed").drop("changed")).withColumn("changed", F.lit(True))
+    return marked.where("NOT changed").unionByName(again, allowMissingColumns=True)
+
+
+def anchor_bundle(keywords: DataFrame, extractor: Callable = P.StubExtractor, embedder: Callable = P.StubEmbedder, labels: Sequence[str] = G.LABELS, by: Sequence[str] = ("session_id",), threshold: float = 0.05) -> DataFrame:
+    """(by, anchor, anchor_ord, role, sim, vector): the anchors of each session, its keyword first, then the entities found in it that validation accepts.
+
+    keywords: by, keyword; blank ones have no anchors. Entities come by
+    frequency, then in order; one that is the keyword itself is none.
+    """
+    by = list(by)
+    own = keywords.select(*by, X.trimmed("keyword").alias("text")).where("text <> ''")
+    spans = P.extract(own, extractor, labels, by, threshold=threshold)
+    found = M.aggregate_spans(spans, by).join(own.select(*by, F.lower("text").alias("key")), [*by, "key"], "left_anti")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count"), "key"))
+    candidates = own.select(*by, F.lit(0).alias("ord"), "text", F.lit(False).alias("is_entity")).unionByName(found.select(*by, place.alias("ord"), "text", F.lit(True).alias("is_entity")))
+    vectors = written(candidates.withColumn("vector", P.embedding(embedder, is_query=True)("text")))
+    valid = W.validate_anchors(vectors, by).where("status = 'accepted'")
+    kept = valid.join(vectors.select(*by, "ord", "vector"), [*by, "ord"])
+    return kept.select(*by, F.col("text").alias("anchor"), F.row_number().over(Window.partitionBy(*by).orderBy("ord")).alias("n"), "role", "sim", "vector").withColumn("anchor_ord", F.col("n") - 1).drop("n")
+
+
 def refill(stored: DataFrame, recompute: Callable[[DataFrame], DataFrame], keys: Sequence[str], stale: Column, dry_run: bool = False) -> DataFrame:
     """Stored rows with the stale ones computed anew; dry_run gives the stale rows only."""
     old = stored.where(stale)

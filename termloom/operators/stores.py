@@ -79,6 +79,26 @@ def needs_refresh(method: str = "tiering_method", rank: str = "instance_rank", i
     return (F.coalesce(F.col(method), F.lit("")) != current) | F.col(rank).isNull() | F.col(index).isNull()
 
 
+def needs_instances(instances: Column | str, expected: Column) -> Column:
+    """Whether stored anchors are missing, or fewer than expected."""
+    n = F.size(F.coalesce(F.col(instances) if isinstance(instances, str) else instances, F.array()))
+    return (n == 0) | (n < expected)
+
+
+def needs_buckets(buckets: Column | str, terms: Column, least: int = 2) -> Column:
+    """Whether a session with terms has no word buckets, or has buckets (nlp_count, nlps) of fewer terms than least."""
+    b = F.col(buckets) if isinstance(buckets, str) else buckets
+    small = F.exists(b, lambda x: F.coalesce(x["nlp_count"], F.size(x["nlps"])) < least)
+    return (terms > 0) & (b.isNull() | small)
+
+
+def needs_labels(groups: Column | str, labels: Column, catalogue: Sequence[str]) -> Column:
+    """Whether there are no label groups, or a term's label is none of the catalogue."""
+    g = F.col(groups) if isinstance(groups, str) else groups
+    unknown = F.exists(labels, lambda x: ~F.trim(F.coalesce(x, F.lit(""))).isin(*catalogue))
+    return F.coalesce(F.size(g), F.lit(0)).isin(0, -1) | F.coalesce(unknown, F.lit(False))
+
+
 def numbered(rows: DataFrame, order: Sequence, start: int = 0, name: str = "sr_no") -> DataFrame:
     """Rows to be appended, numbered on from start; they are ranked over all tasks."""
     return ranked(rows, [], order, name).withColumn(name, F.col(name) + start)

@@ -11,6 +11,7 @@ from .. import jobs
 from .. import providers as P
 from ..operators import ranking as R
 from ..operators import stores as O
+from ..operators.grouping import LABELS
 from ..scratch import folder
 from ..sources import files as S
 from .inputs import PARTS, part_terms, table, vector_anchors, vector_terms
@@ -183,7 +184,36 @@ def merge_response(spark, d):
     return out.select("session_id", "from_cache", parsed.alias("p")).select("session_id", "from_cache", F.size("p.tiers").alias("terms"), F.size("p.labels").alias("labels"))
 
 
+def stale_documents(spark, d):
+    """What stored documents lack; a supplier stands for one."""
+    k = F.col("s_suppkey")
+    s = table(spark, d, "supplier").select(
+        k, F.when(k % 5 > 0, F.array_repeat(F.lit("x"), (k % 4).cast("int"))).alias("instances"),
+        F.when(k % 3 > 0, F.array(F.struct((k % 3).cast("int").alias("nlp_count"), F.array(F.lit("a")).alias("nlps")), F.struct(F.lit(None).cast("int").alias("nlp_count"), F.array_repeat(F.lit("b"), (k % 4).cast("int")).alias("nlps")))).alias("buckets"),
+        F.when(k % 2 > 0, F.create_map(F.lit("Topic"), F.lit(1))).alias("groups"), F.array(F.lit(" Topic"), F.when(k % 7 > 0, F.lit("Food")).otherwise(F.lit("?"))).alias("labels"),
+    )
+    return s.select("s_suppkey", O.needs_instances("instances", 1 + k % 3).alias("instances"), O.needs_buckets("buckets", k % 6).alias("buckets"), O.needs_labels("groups", F.col("labels"), LABELS).alias("labels"))
+
+
+def ensured(spark, d):
+    """Parts whose tier is missing get the tier of their session's order; it is done twice, the second time for nothing."""
+    t = part_terms(spark, d).select("session_id", "ord", "average_weightage", F.when(F.col("session_id").endswith("1"), "old").alias("tier"))
+    again = lambda rows: R.percentile_tiers(rows.drop("tier"), ["session_id"], [F.desc("average_weightage"), "ord"])
+    first = jobs.ensured(t, F.col("tier").isNull(), again)
+    return jobs.ensured(first.withColumnRenamed("changed", "first"), F.col("tier").isNull(), again).select("session_id", "ord", "tier", "first", "changed")
+
+
 QUERIES = {
+    "stale_documents": (
+        stale_documents,
+        """SELECT s_suppkey, s_suppkey % 5 = 0 OR s_suppkey % 4 = 0 OR s_suppkey % 4 < 1 + s_suppkey % 3 AS instances,
+        s_suppkey % 6 > 0 AND (s_suppkey % 3 = 0 OR s_suppkey % 3 < 2 OR s_suppkey % 4 < 2) AS buckets, s_suppkey % 2 = 0 OR s_suppkey % 7 = 0 AS labels FROM supplier""",
+    ),
+    "ensured": (
+        ensured,
+        f"""WITH {PARTS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY average_weightage DESC, ord) AS r, count(*) OVER (PARTITION BY session_id) AS n FROM parts), g AS (SELECT *, greatest(1, floor(n * 0.35)) AS g FROM r)
+        SELECT session_id, ord, CASE WHEN ends_with(session_id, '1') THEN 'old' WHEN r <= g THEN 'green' WHEN r <= g + greatest(1, floor((n - g) * 0.1)) THEN 'white' ELSE 'orange' END AS tier, NOT ends_with(session_id, '1') AS first, false AS changed FROM g""",
+    ),
     "page_results_scan": (
         page_results_scan,
         "SELECT 's' AS session_id, n_nationkey::INTEGER AS page_id, 'd' || n_regionkey || '.com' AS domain, k::INTEGER AS ord, n_name || ' ' || k AS text, k::INTEGER AS count, k / 4.0::DOUBLE AS relevance FROM (SELECT *, unnest(range(n_regionkey)) AS k FROM nation WHERE n_nationkey % 2 = 1)",

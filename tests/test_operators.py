@@ -345,3 +345,21 @@ def test_session_jobs(spark):
     assert '"tiers"' in document
     with pytest.raises(ValueError, match="method"):
         jobs.tiered_session(entities, anchors, entities, "dogs", method="x")
+
+
+def test_anchor_bundle(spark):
+    class Same:
+        """Every text but one points the same way."""
+
+        def encode(self, texts, is_query=False):
+            return np.array([[0.0, 1.0] if "Odd" in t else [1.0, len(t) / 1000] for t in texts], np.float32)
+
+    class Names:
+        def spans(self, texts, labels, threshold):
+            assert threshold == 0.05
+            return [[(w, "Topic", 0.1) for w in t.split("|")] for t in texts]
+
+    keywords = spark.createDataFrame([(1, " Big Dog|big dog|Odd One|Odd One|the|Big Cat"), (2, " "), (3, "alone")], "session_id int, keyword string")
+    got = jobs.anchor_bundle(keywords, Names, Same).orderBy("session_id", "anchor_ord").collect()
+    assert [(r.session_id, r.anchor, r.anchor_ord, r.role) for r in got] == [(1, "Big Dog|big dog|Odd One|Odd One|the|Big Cat", 0, "original"), (1, "Big Dog", 1, "gliner_entity_1"), (3, "alone", 0, "original")]
+    assert all(len(r.vector) == 2 for r in got)
