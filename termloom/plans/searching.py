@@ -255,6 +255,27 @@ SELECT v.g AS session_id, v.i AS ord, 'term ' || (v.g * {PAGE} + v.i) AS text, n
 """
 
 
+# Slots: a step for each anchor's share, then one for each anchor of each round of what is lacking. b: the anchors' terms, best first; ptr: how far each has got.
+SLOTS = f"""
+WITH RECURSIVE {SIMS}, {TIERED},
+own AS (SELECT session_id, tier, anchor_ord, list(ord ORDER BY CASE WHEN tier = 'white' THEN sim ELSE -sim END, ord) AS b FROM tiered GROUP BY ALL),
+size AS (SELECT session_id, count(DISTINCT text)::INTEGER AS n FROM tiered GROUP BY 1), tiers AS (SELECT session_id, unnest(['green', 'white', 'orange']) AS tier, n, greatest(1, floor(n * 0.35))::INTEGER AS g FROM size),
+slots AS (SELECT session_id, tier, CASE tier WHEN 'green' THEN g WHEN 'white' THEN least(greatest(1, floor(n * 0.10)), n - g) ELSE n - g - least(greatest(1, floor(n * 0.10)), n - g) END::INTEGER AS total FROM tiers),
+start AS (SELECT session_id, tier, list_transform([0, 1, 2], lambda a: total // 3 + CASE WHEN a < total % 3 THEN 1 ELSE 0 END) AS share,
+  [coalesce((SELECT b FROM own o WHERE o.session_id = s.session_id AND o.tier = s.tier AND anchor_ord = 0), []), coalesce((SELECT b FROM own o WHERE o.session_id = s.session_id AND o.tier = s.tier AND anchor_ord = 1), []),
+   coalesce((SELECT b FROM own o WHERE o.session_id = s.session_id AND o.tier = s.tier AND anchor_ord = 2), [])] AS b FROM slots s),
+walk(session_id, tier, share, b, ptr, taken, picks, lacking, k, turn, before_) AS (
+  SELECT session_id, tier, share, b, [0, 0, 0], [-1], [{{'a': 0, 'o': 0, 'r': 0}}], 0, 1, [1, 2, 3], 0 FROM start UNION ALL
+  SELECT session_id, tier, share, b, list_transform(ptr, lambda x, i: CASE WHEN i = a THEN to_ ELSE x END), list_concat(taken, p),
+    list_concat(picks, list_transform(p, lambda o, i: {{'a': a, 'o': o, 'r': i + had}})), CASE WHEN k <= 3 THEN lacking + share[a] - len(p) ELSE lacking - len(p) END, k + 1,
+    CASE WHEN k % 3 = 0 THEN list_transform(list_sort(list_transform([1, 2, 3], lambda i: [CASE WHEN i = a THEN to_ ELSE ptr[i] END - len(b[i]), i])), lambda x: x[2]) ELSE turn END,
+    CASE WHEN k % 3 = 1 THEN len(taken) ELSE before_ END
+  FROM (SELECT *, CASE WHEN len(p) < want AND want > 0 THEN len(b[a]) WHEN want = 0 THEN ptr[a] ELSE list_position(b[a], p[len(p)]) END AS to_, len(list_filter(picks, lambda x: x.a = a)) AS had
+    FROM (SELECT *, list_filter(b[a][ptr[a] + 1:], lambda o: NOT list_contains(taken, o))[1:want] AS p FROM (SELECT *, turn[(k - 1) % 3 + 1] AS a, CASE WHEN k <= 3 THEN share[turn[(k - 1) % 3 + 1]] WHEN lacking > 0 THEN 1 ELSE 0 END AS want FROM walk)))
+  WHERE k <= 3 OR lacking > 0 AND (k % 3 <> 1 OR k = 4 OR len(taken) > before_)),
+last AS (SELECT session_id, tier, arg_max(picks, k) AS picks FROM walk GROUP BY 1, 2), picked AS (SELECT session_id, tier, unnest(picks) AS x FROM last)
+SELECT p.session_id, t.text AS key, t.text, p.tier, t.anchor, (t.anchor_ord + 1)::INTEGER AS instance_index, x.r::INTEGER AS instance_rank, t.sim FROM picked p JOIN tiered t ON p.session_id = t.session_id AND t.ord = x.o AND t.anchor_ord = x.a - 1 WHERE x.a > 0
+"""
 VALIDATED = f"""
 WITH RECURSIVE v AS (SELECT vec_id // {PAGE} AS session_id, (vec_id % {PAGE})::INTEGER AS ord, embedding::DOUBLE[] AS e FROM embeddings),
 sims AS (SELECT a.session_id, a.ord, b.ord AS j, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS s FROM v a JOIN v b ON a.session_id = b.session_id AND b.ord <= a.ord),
@@ -302,7 +323,7 @@ QUERIES = {
     "top_up": (top_up, None),
     "anchored_tiers": (anchored_tiers, None),
     "validate_anchors": (validate_anchors, VALIDATED),
-    "slot_fill": (slot_fill, None),
+    "slot_fill": (slot_fill, SLOTS),
     "slot_fill_consensus": (slot_fill_consensus, None),
     "tier_eval": (
         tier_eval,
