@@ -17,6 +17,8 @@ from .simhash import _shingles
 SAMPLE, COMMON = 40_000, 200_000
 #: Members of a group of one shingle beyond which the group's whole sets are compared in one task, for a spanning forest of its links only.
 GROUP = 256
+#: Members of a large group that are dealt into one block; every two blocks of a group meet in one task, which holds their sets.
+BLOCK = 2000
 #: Texts to compare up to which their numbers are broadcast.
 FEW = 1_000_000
 #: Pairs compared at once.
@@ -251,7 +253,8 @@ def links(rows: DataFrame, nodes: DataFrame, similarity: float, width: int, seed
     rows: n, t (binary); nodes: node, n (that of one of its rows). Sets that
     reach the similarity share one of the rarest shingles (prefix()), so they
     meet in a group of one shingle. Pairs of a group, or the members of a
-    large one, are compared by their whole sets. Shingles are 64-bit hashes.
+    large one, are compared by their whole sets; a large group is dealt into
+    blocks, so that no task holds more than two of them. Shingles are 64-bit hashes.
     """
     spark, least = rows.sparkSession, Fraction(similarity).limit_denominator(1000)
     share = min(1.0, SAMPLE / max(1, rows.count()))
@@ -269,5 +272,9 @@ def links(rows: DataFrame, nodes: DataFrame, similarity: float, width: int, seed
     pairs = found.where("h is null").select("a", "b").distinct()
     of = lambda name, x: sets.select(F.col("node").alias(name), F.col("shingles").alias(x))
     checked = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verified(least), "a long, b long")
-    crowds = found.where("h is not null").select("h", F.col("a").alias("node")).join(sets, "node").select("h", "node", "shingles")
+    members = found.where("h is not null").select("h", F.col("a").alias("node"))
+    blocks = members.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    dealt = members.join(blocks, "h").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    met = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("k = 1 OR i <> j")
+    crowds = met.select(F.xxhash64("h", F.least("i", "j"), F.greatest("i", "j")).alias("h"), "node").join(sets, "node").select("h", "node", "shingles")
     return checked.unionByName(crowds.repartition(partitions(spark), "h").sortWithinPartitions("h").mapInArrow(_crowds(least), "a long, b long"))

@@ -449,11 +449,12 @@ def test_drop_near_duplicates_keeps_pairs_below(spark):
     assert simhash.drop_near_duplicates(df).count() == len(rows)
 
 
-@pytest.mark.parametrize("group", [256, 1])
-def test_drop_near_duplicates_brute(spark, group, monkeypatch):
+@pytest.mark.parametrize(("group", "block"), [(256, 2000), (1, 2000), (1, 3)])
+def test_drop_near_duplicates_brute(spark, group, block, monkeypatch):
     from termloom.llm import jaccard
 
     monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     r = random.Random(3)
     rows = [None, "", "one", "One", "one two"]
     for _ in range(8):
