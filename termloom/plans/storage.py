@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
+import shutil
+import tempfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,12 +137,35 @@ def result_lines(spark, d):
 
 
 def jdbc_relation(spark, d):
-    """A relation written to and read from a database by JDBC: the one that comes with Spark, in the driver's memory."""
-    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
-    url, options = "jdbc:derby:memory:termloom;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    rows = table(spark, d, "nation").select("n_nationkey", "n_regionkey", F.length("n_name").alias("n"))
-    rows.coalesce(1).write.mode("overwrite").jdbc(url, "nations", properties=options)
-    return S.jdbc(spark, url, '(SELECT "n_nationkey", "n_regionkey", "n" FROM nations WHERE "n_regionkey" > 1) t', **options)
+    """A relation written to a database by JDBC and read from it: the one that comes with Spark, packed into a file of the shared folder that every machine opens for itself."""
+    return S.jdbc(spark, _database(spark, _nations(spark, d)), '(SELECT "n_nationkey", "n_regionkey", "n" FROM nations WHERE "n_regionkey" > 1) t', driver="org.apache.derby.jdbc.EmbeddedDriver")
+
+
+def _database(spark: SparkSession, nations: list) -> str:
+    """URL of a database with the table nations, which the driver fills. It is read-only, so several processes may have it open."""
+    jvm = spark.sparkContext._jvm
+    jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    derby, none = jvm.org.apache.derby.jdbc.EmbeddedDriver(), jvm.java.util.Properties()
+    at = jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/nations.jar")
+    with tempfile.TemporaryDirectory() as own:
+        own = os.path.realpath(own)
+        con = derby.connect(f"jdbc:derby:directory:{own}/nations;create=true", none)
+        con.createStatement().execute('CREATE TABLE nations ("n_nationkey" INTEGER, "n_regionkey" INTEGER, "n" INTEGER)')
+        put = con.prepareStatement("INSERT INTO nations VALUES (?, ?, ?)")
+        for r in nations:
+            for i, x in enumerate((r.n_nationkey, r.n_regionkey, None if r.n_name is None else len(r.n_name)), 1):
+                put.setNull(i, jvm.java.sql.Types.INTEGER) if x is None else put.setInt(i, x)
+            put.addBatch()
+        put.executeBatch()
+        con.close()
+        try:
+            derby.connect(f"jdbc:derby:directory:{own}/nations;shutdown=true", none)
+        except Py4JJavaError as e:
+            if e.java_exception.getSQLState() != "08006":  # the state of a database that has shut down
+                raise
+        packed = shutil.make_archive(f"{own}/packed", "zip", own, "nations")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file://{packed}"), at)
+    return f"jdbc:derby:jar:({at.toUri().getPath()})nations"
 
 
 class _Lengths:

@@ -1,6 +1,10 @@
 """Reading and writing files, streams, the entry module."""
 
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +96,17 @@ def test_entry(spark):
     assert set(sql) <= set(queries)
     assert len(queries) > 80
     assert entry.entry(spark).columns == ["session_id", "key", "tier", "competitor_count", "word_range"]
+
+
+def test_jdbc_relation_is_read_by_other_processes(tmp_path):
+    """On executors of their own, which share a folder with the driver but no memory."""
+    run = f"""
+from pyspark.sql import SparkSession
+from termloom.plans import storage
+spark = SparkSession.builder.master("local-cluster[2,1,600]").config("spark.executor.memory", "500m").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+spark.createDataFrame([(1, "AB", 2), (2, "ABC", 1), (3, "", 4), (4, None, 3)], "n_nationkey int, n_name string, n_regionkey int").write.parquet("{tmp_path}/nation.parquet")
+print("rows", sorted(tuple(r) for r in storage.jdbc_relation(spark, "{tmp_path}").collect()))
+spark.stop()
+"""
+    out = subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, timeout=300, cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(Path(__file__).parent.parent), "SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable})
+    assert "rows [(1, 2, 2), (3, 4, 0), (4, 3, None)]" in out.stdout, out.stderr[-2000:]
