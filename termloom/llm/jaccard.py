@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, written
+from .graph import components
 from .simhash import _shingles
 
 #: About how many texts tell which shingles are common, and the most common ones that every task gets. They change the work, never the links.
@@ -19,8 +20,8 @@ SAMPLE, COMMON = 40_000, 200_000
 GROUP = 256
 #: Members of a large group that are dealt into one block; every two blocks of a group meet in one task, which holds their sets.
 BLOCK = 2000
-#: Texts to compare up to which their numbers are broadcast.
-FEW = 1_000_000
+#: Share of the texts, at least, that tells which shingles are common.
+SHARE = 1 / 16
 #: Pairs compared at once.
 PAIRS = 1 << 19
 
@@ -64,12 +65,54 @@ def nodes_of(width: int, seed: int):
     return run
 
 
+def only(rows: DataFrame, ns: DataFrame) -> DataFrame:
+    """The rows whose n is among ns. One bit for each n is broadcast, in longs, so rows, with their texts, are not shuffled."""
+    words = ns.groupBy(F.shiftright("n", 6).alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(n & 63 AS int)))").alias("word"))
+    return rows.join(F.broadcast(words), F.expr("shiftright(n, 6) = k AND getbit(word, cast(n & 63 AS int)) = 1"), "left_semi")
+
+
 def _with_sets(width: int, seed: int):
-    """(node, shingles) of rows (text, node)."""
+    """(node, shingles) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, width, seed):
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+        for _, sets in _sets(batches, width, seed):
+            yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+
+    return run
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Whether the number of shingles is odd, for each of as many classes of hashes as there are shingles, or up to twice as many."""
+    m = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    at = (shingles & np.uint64(m - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=m) & 1, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """At most the number of shingles that only one of two sets has: each changes one bit of the sketches."""
+    x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _with_sketches(width: int, seed: int):
+    """(node, size, sketch) of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets(batches, width, seed):
+            yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(sketch, sets)), pa.binary())], ["node", "size", "sketch"])
+
+    return run
+
+
+def _possible(least: Fraction):
+    """(a, b) of rows (a, b, size of a, its sketch, size of b, its sketch) that the sketches don't show to be unlike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [apart(x, y) * (least.numerator + least.denominator) <= (least.denominator - least.numerator) * (m + n) for m, x, n, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -247,17 +290,31 @@ def _crowds(least: Fraction):
     return run
 
 
-def links(rows: DataFrame, nodes: DataFrame, similarity: float, width: int, seed: int) -> DataFrame:
+def checked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, least: Fraction, width: int, seed: int) -> DataFrame:
+    """(a, b): the pairs whose sets are alike. Sketches, 64 times smaller than the sets, rule out nearly all others before sets are joined."""
+    pairs = written(pairs)
+    own = lambda found, make, kind: written(only(rows, found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("n")).select("t").mapInArrow(make(width, seed), kind))
+    small = own(pairs, _with_sketches, "node long, size int, sketch binary")
+    of = lambda name: small.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+    left = written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(_possible(least), "a long, b long"))
+    whole = own(left, _with_sets, "node long, shingles binary")
+    side = lambda name, x: whole.select(F.col("node").alias(name), F.col("shingles").alias(x))
+    return left.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verified(least), "a long, b long")
+
+
+def links(rows: DataFrame, nodes: DataFrame, near: DataFrame, similarity: float, width: int, seed: int) -> DataFrame:
     """(a, b): links between nodes that connect all whose sets have a Jaccard index of at least similarity, and no others.
 
-    rows: n, t (binary); nodes: node, n (that of one of its rows). Sets that
-    reach the similarity share one of the rarest shingles (prefix()), so they
-    meet in a group of one shingle. Pairs of a group, or the members of a
-    large one, are compared by their whole sets; a large group is dealt into
+    rows: n, t (binary); nodes: node, n (that of one of its rows); near:
+    candidate pairs (a, b) of another method, which are checked first. What
+    these connect is not compared again. Sets that reach the similarity share
+    one of the rarest shingles (prefix()), so whatever near has missed meets
+    in a group of one shingle. Pairs of a group, or the members of a large
+    one, are compared by their whole sets; a large group is dealt into
     blocks, so that no task holds more than two of them. Shingles are 64-bit hashes.
     """
     spark, least = rows.sparkSession, Fraction(similarity).limit_denominator(1000)
-    share = min(1.0, SAMPLE / max(1, rows.count()))
+    share = min(1.0, max(SHARE, SAMPLE / max(1, rows.count())))
     some = rows.where(F.shiftrightunsigned(F.xxhash64("n"), 2) <= int(share * (1 << 62)))
     often = some.select("t").mapInArrow(_all(width, seed), "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
     common, rank = (often.column(c).to_numpy() for c in ("h", "c"))
@@ -266,15 +323,15 @@ def links(rows: DataFrame, nodes: DataFrame, similarity: float, width: int, seed
     common, rank = common[order], rank[order].astype(np.int32)
     first = rows.select("t").mapInArrow(_prefixes(width, seed, common, rank, least), "h long, node long, size int, pos int")
     found = written(first.repartition(partitions(spark), "h").sortWithinPartitions("h").mapInArrow(_candidates(least, GROUP), "a long, b long, h long"))
-    wanted = written(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"))
-    few = F.broadcast(wanted) if wanted.count() <= FEW else wanted
-    sets = written(rows.join(few, "n").select("t", "node").mapInArrow(_with_sets(width, seed), "node long, shingles binary"))
-    pairs = found.where("h is null").select("a", "b").distinct()
-    of = lambda name, x: sets.select(F.col("node").alias(name), F.col("shingles").alias(x))
-    checked = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verified(least), "a long, b long")
+    known = written(checked(near, rows, nodes, least, width, seed))
+    roots = written(components(known))
+    root = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    pairs = found.where("h is null").select("a", "b").distinct().join(root("a"), "a", "left").join(root("b"), "b", "left")
+    pairs = checked(pairs.where("root_a is null or root_b is null or root_a <> root_b").select("a", "b"), rows, nodes, least, width, seed)
     members = found.where("h is not null").select("h", F.col("a").alias("node"))
+    sets = written(only(rows, members.select("node").distinct().join(nodes, "node").select("n")).select("t").mapInArrow(_with_sets(width, seed), "node long, shingles binary"))
     blocks = members.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     dealt = members.join(blocks, "h").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     met = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("k = 1 OR i <> j")
     crowds = met.select(F.xxhash64("h", F.least("i", "j"), F.greatest("i", "j")).alias("h"), "node").join(sets, "node").select("h", "node", "shingles")
-    return checked.unionByName(crowds.repartition(partitions(spark), "h").sortWithinPartitions("h").mapInArrow(_crowds(least), "a long, b long"))
+    return known.unionByName(pairs).unionByName(crowds.repartition(partitions(spark), "h").sortWithinPartitions("h").mapInArrow(_crowds(least), "a long, b long"))

@@ -344,11 +344,13 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the smallest id.
 
-    Two texts are linked if their sets of five-word shingles have a Jaccard
-    index of at least similarity, computed on the whole sets; every such pair
-    is found, wherever the texts differ. Groups are connected components. A
-    null text counts as empty, a null id comes after all others, and of
-    repeated rows one stays.
+    SimHash comes first, as simhash() has it by default: the texts of one of
+    its components are candidates, each with the component's first. Two texts
+    are linked if their sets of five-word shingles have a Jaccard index of at
+    least similarity, computed on the whole sets. A prefix filter then finds
+    every such pair that SimHash has not connected, wherever the texts differ.
+    Groups are connected components. A null text counts as empty, a null id
+    comes after all others, and of repeated rows one stays.
     """
     from . import jaccard
 
@@ -360,10 +362,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     own = rows.select(text, "n", F.col(f"row.`{id_col}`").alias("id")).mapInArrow(jaccard.nodes_of(width, seed), f"n long, id {kind}, node long")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n"))
     nodes = written(own.groupBy("node").agg(first.alias("first")))
-    roots = components(jaccard.links(rows.select("n", text), nodes.select("node", F.col("first.n").alias("n")), similarity, width, seed))
+    one = nodes.select("node", F.col("first.n").alias("n"))
+    alike = simhash(jaccard.only(rows, one).select("n", text), "n", "t", seed=seed).select("n", "component")
+    near = written(one.join(alike, "n").select("node", "n", "component"))
+    near = near.join(near.where("n = component").select("component", F.col("node").alias("b")), "component").where("node <> b").select(F.col("node").alias("a"), "b")
+    roots = components(jaccard.links(rows.select("n", text), one, near, similarity, width, seed))
     grouped = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias("n"))
-    return rows.join(kept, "n", "left_semi").select("row.*")
+    return jaccard.only(rows, kept).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

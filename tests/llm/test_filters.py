@@ -470,6 +470,46 @@ def test_drop_near_duplicates_brute(spark, group, block, monkeypatch):
     assert sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect()) == sorted(set(roots))
 
 
+def test_drop_near_duplicates_by_simhash_first(spark, monkeypatch):
+    """Candidates come from simhash(), and what they connect by the exact index is not compared again."""
+    from termloom.llm import jaccard
+
+    seen, compared = [], []
+    real, checked = simhash.simhash, jaccard.checked
+    monkeypatch.setattr(simhash, "simhash", lambda *x, **y: seen.append(real(*x, **y)) or seen[-1])
+    monkeypatch.setattr(jaccard, "checked", lambda pairs, *x: compared.append({frozenset(r) for r in pairs.collect()}) or checked(pairs, *x))
+    r = random.Random(4)
+    w = [f"u{r.randint(0, 10**9)}" for _ in range(400)]
+    moved = w[200:] + w[:200]
+    rows = [" ".join(w), " ".join([*w, "end"]), " ".join(moved), " ".join(copies(r, w)[0])]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(2)
+    assert sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect()) == [0]
+    assert len(seen) == 1 and seen[0].count() == 4
+    assert compared[0] and not compared[0] & compared[1]
+
+
+def test_sketches_rule_out_unlike_sets_only():
+    from termloom.llm import jaccard
+
+    r = np.random.default_rng(5)
+    for n in (0, 1, 5, 64, 65, 700, 5000):
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        for k in (0, 1, n // 10, n // 9, n // 4, n):
+            y = np.unique(np.concatenate([x[k:], r.integers(0, 1 << 63, n // 9).astype(np.uint64)]))
+            differ, got = len(np.setxor1d(x, y)), jaccard.apart(jaccard.sketch(x), jaccard.sketch(y))
+            assert got <= differ and (got - differ) % 2 == 0
+    x, y = (np.unique(r.integers(0, 1 << 63, 900).astype(np.uint64)) for _ in range(2))
+    assert jaccard.apart(jaccard.sketch(x), jaccard.sketch(y)) * 9 > len(x) + len(y)  # an index of 0.8 is ruled out
+
+
+def test_only(spark):
+    ns = [0, 1, 63, 64, 127, (5 << 33) + 63, (5 << 33) + 64]
+    rows = spark.createDataFrame([(n,) for n in [*ns, 2, 65, 5 << 33, ns[0]]], "n long")
+    from termloom.llm import jaccard
+
+    assert sorted(x.n for x in jaccard.only(rows, spark.createDataFrame([(n,) for n in ns], "n long")).collect()) == sorted([*ns, 0])
+
+
 def test_components(spark):
     edges = [(9, 8), (8, 7), (7, 6), (1, 2), (2, 3), (3, 1), (4, 4)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 200 + i) for i in range(30)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
