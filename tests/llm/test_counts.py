@@ -352,3 +352,33 @@ def test_clear(spark):
     common.clear(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_lm_learns_from_every_id():
+    """Pairs of ids are counted over all training texts, and gradient steps move attention and gates by whole texts: no part is sampled."""
+    from termloom.llm import attention_lm as lm
+
+    rows = [(0, " ".join(f"word{i % 70}" for i in range(3000))), (2, "the end"), (3, None), (1, "held out"), (None, "a")]
+    sub, count = lm_scoring.Subwords(PATH), Counter()
+    ids = [sub.many(lm_scoring.words_of((t or "").encode()))[0] for i, t in rows if not lm_scoring.held_out(i)]
+    count.update(np.concatenate(ids).tolist())
+    vocab = lm_scoring.Vocabulary(sub.size, dict(count), len(ids))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t and t.encode() for _, t in rows], pa.binary())], ["id", "t"])
+    size, got = len(vocab.unigram), Counter()
+    blocks = -(-size // lm_scoring.BLOCK)
+    for b in lm_scoring._add_pairs(size)(lm_scoring._pairs(PATH, vocab)(iter([batch]))):
+        block, at, n = (c[0].as_py() for c in b.columns)
+        for k, m in zip(np.frombuffer(at, np.int32).tolist(), np.frombuffer(n, np.int64).tolist(), strict=True):
+            got[block // blocks, *divmod(k + block % blocks * lm_scoring.BLOCK * size, size)] += m
+    want = Counter()
+    for x in ids:
+        stream = [0] * lm.CONTEXT + vocab.place[x].tolist() + [0]
+        want.update((i, stream[k - apart], stream[k]) for k in range(lm.CONTEXT, len(stream)) for i, apart in enumerate(lm.APART))
+    assert got == want
+    p = lm.initial(vocab.unigram)
+    found = [r for b in lm_scoring._expect(PATH, vocab, p)(iter([batch])) for r in b.to_pylist()]
+    n, flat, lo = found[0]["n"], np.concatenate([r["x"] for r in found if r["block"] >= blocks]), 0
+    assert n == sum(count.values()) + len(ids)
+    for k in sorted(set(p) - {"word"}):
+        assert np.abs(flat[lo : lo + p[k].size] / n - p[k].ravel()).max() > 1e-3
+        lo += p[k].size
