@@ -229,11 +229,12 @@ class Urls:
 def _dealt(hosts: DataFrame) -> DataFrame:
     """(host, fold) for rows (host, rank): hosts in the order of rank and name, dealt out in turn."""
     hosts = written(hosts.repartitionByRange("rank", "host").withColumn("part", F.spark_partition_id()))
-    before, n = F.lit(0), 0
+    before, n = {}, 0
     for r in sorted(hosts.groupBy("part").count().collect()):
-        before, n = F.when(F.col("part") == r.part, F.lit(n % FOLDS)).otherwise(before), n + r["count"]
+        before[r.part], n = n % FOLDS, n + r["count"]
+    start = F.element_at(F.array(*(F.lit(before.get(i, 0)) for i in range(max(before, default=0) + 1))), F.col("part") + 1)
     number = F.row_number().over(Window.partitionBy("part").orderBy("rank", "host")) - 1
-    return hosts.select("host", ((before + number) % FOLDS).cast("int").alias("fold"))
+    return hosts.select("host", ((start + number) % FOLDS).cast("int").alias("fold"))
 
 
 def _tally(order: int):
