@@ -382,3 +382,41 @@ def test_lm_learns_from_every_id():
     for k in sorted(set(p) - {"word"}):
         assert np.abs(flat[lo : lo + p[k].size] / n - p[k].ravel()).max() > 1e-3
         lo += p[k].size
+
+
+def test_lm_reads_texts_once(spark, monkeypatch):
+    """All that learns and scores reads the ids that were encoded once, and these are the ids of whole texts, of any length, null and empty ones too."""
+    from termloom.llm import attention_lm as lm
+
+    seen, trained = [], lm_scoring.trained
+    monkeypatch.setattr(lm_scoring, "trained", lambda rows, path, vocab, size: seen.append((vocab, rows.columns, {x.id: bytes(x.places) for x in rows.collect()})) or trained(rows, path, vocab, size))
+    monkeypatch.setattr(lm_scoring, "BATCH", 2000)
+    rows = [(0, " ".join(f"word{i % 70}" for i in range(3000))), (2, "The end"), (3, None), (1, "held out zebra"), (4, ""), (5, "é  x\ty")]
+    lm_scoring.lm_score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), PATH, vocabulary=30, frequent=4).collect()
+    vocab, columns, places = seen[0]
+    assert columns == ["id", "places"]
+    sub = lm_scoring.Subwords(PATH)
+    want = {i: vocab.place[sub.many(lm_scoring.words_of((t or "").encode()))[0]] for i, t in rows}
+    assert {i: np.frombuffer(x, vocab.kind).tolist() for i, x in places.items()} == {i: x.tolist() for i, x in want.items()}
+    raw = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t and t.encode() for _, t in rows], pa.binary())], ["id", "t"])
+    stored = pa.RecordBatch.from_arrays([raw.column(0), pa.array([places[i] for i, _ in rows], pa.binary())], ["id", "places"])
+    a, b = ([np.concatenate(z) for z in zip(*[(x[t >= 0], y[t >= 0]) for x, y, t in ((x[:, lm.CONTEXT :], y, t) for x, y, t in lm_scoring._training(PATH, vocab, iter([batch])))], strict=True)] for batch in (raw, stored))
+    assert all(map(np.array_equal, a, b)) and len(b[1]) == sum(len(x) + 1 for i, x in want.items() if not lm_scoring.held_out(i))
+
+
+def test_lm_adds_rows_up_by_place():
+    """Ids with one row, with a few and with more than are one product; room that a call leaves behind changes nothing in the next."""
+    from termloom.llm import attention_lm as lm
+
+    r = np.random.default_rng(5)
+    at = np.repeat([7, 3, 0, 8, 5], [1, 2, lm.FEW, lm.FEW + 1, 2 * lm.PART + 3])
+    r.shuffle(at)
+    rows, want = r.normal(size=(len(at), 3)), np.zeros((9, 3))
+    np.add.at(want, at, rows)
+    some, sums = lm._by_place(9, at, rows)
+    assert sorted(some) == [0, 3, 5, 7, 8] and np.allclose(sums, want[some])
+    x, y, _ = lm.windows(r.integers(1, 9, 9000).astype(np.int32), np.array([8000, 1000]))
+    p, room = lm.initial(np.full(9, 1 / 9)), {}
+    for some in (slice(0, 200), slice(200, 210), slice(100, 290)):
+        alone, kept = lm.gradients(p, x[some], y[some]), lm.gradients(p, x[some], y[some], room=room)
+        assert alone[0] == kept[0] and all(np.array_equal(alone[1][k], kept[1][k]) for k in alone[1])
